@@ -9,7 +9,7 @@ Items shorter than q, or whose bound is not positive, are searched for exactly.
 The benchmark is sent to the tasks in blocks of at most ``BLOCK`` bytes, whatever its size; each block meets all
 documents.
 
-Defined results: null or empty texts and items match nothing; repeated items each match; repeated rows each
+Defined results: null or empty texts and items match nothing; equal items count once; repeated rows each
 match; rows with a null ``doc_id`` are reported with it; an empty table on either side gives no rows; other input
 columns are ignored.
 """
@@ -182,7 +182,7 @@ def _search(block: list[tuple[int, str]], rate: float):
 def blocks_of(benchmark: DataFrame, most: int = BLOCK):
     """The benchmark's rows in blocks of at most ``most`` bytes (or a single longer row), one at a time."""
     held, size = [], 0
-    for r in benchmark.select("item_id", "text").where("text is not null").orderBy("item_id", "text").toLocalIterator():
+    for r in benchmark.select("item_id", "text").where("text is not null").distinct().orderBy("item_id", "text").toLocalIterator():
         n = len(r.text.encode("utf-8", "surrogatepass"))
         if held and size + n > most:
             yield held

@@ -31,6 +31,9 @@ SAMPLE = 20_000
 TOXIC_BYTES, ORDINARY_BYTES, LEVEL, FOLDS = 16_384, 32_768, 3, 5
 _WORD = re.compile(rb"[a-z0-9\x80-\xff]{3,}")
 _CAP = 31
+#: Follows every window and is in both dictionaries: a block that matches anyway has paid its fixed cost, so
+#: a match in the window itself shows, and the compressor looks for matches only up to eight bytes before the end.
+_PAD = bytes(range(1, 33))
 
 
 def windows(text: str) -> list[bytes]:
@@ -41,12 +44,12 @@ class Lengths:
     """A window's cell: its length and its compressed lengths with the ordinary and the toxic dictionary."""
 
     def __init__(self, toxic: bytes, ordinary: bytes):
-        make = lambda raw: zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(raw.rjust(8), dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_dict_id=False)
+        make = lambda raw: zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(_PAD + raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_dict_id=False)
         self.toxic, self.ordinary = make(toxic).compress, make(ordinary).compress
 
     def cell(self, word: bytes) -> int:
         x = b" " + word + b" "
-        return (min(len(x), _CAP) * 32 + min(len(self.ordinary(x)), _CAP)) * 32 + min(len(self.toxic(x)), _CAP)
+        return (min(len(x), _CAP) * 32 + min(len(self.ordinary(x + _PAD)), _CAP)) * 32 + min(len(self.toxic(x + _PAD)), _CAP)
 
 
 def features(values: np.ndarray) -> list[float]:
