@@ -4,9 +4,9 @@ A document's set holds its distinct ``width``-word shingles (64-bit hashes). Doc
 form one class at once, so exact copies never meet as pairs. Shingles are put in one global order, rare
 first, by a counting sketch of fixed size over all documents; the order only steers cost, any order
 gives the same links. The rarest shingles of each class - enough that two linked classes must share
-one - are joined. Inside a shingle's bucket the members are first compared with a hub; only classes
-that are not yet in one component are compared further, so a large group of near copies needs about
-one comparison a member. Every surviving pair is verified once on its whole sets.
+one - are joined. Inside a shingle's bucket each member meets the first one and the one before it, and is compared with those it meets
+most; then classes of one bucket that are not yet in one component are all compared, so a large group of
+near copies needs about two comparisons a member and no link that could matter is left out. Buckets that the sketch shows to be large are dealt to several tasks first. Every surviving pair is verified once on its whole sets.
 
 Defined results: null or empty text has an empty set, ``n_shingles`` 0, and links with nothing; a text
 with fewer than ``width`` words has its whole sequence as one shingle; equal rows link; rows with a
@@ -19,14 +19,14 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import components, docs_of, stash
+from spanloom.llm.common import components, docs_of, maybe_in, stash
 
 WIDTH, PERCENT = 5, 80
-#: Counters of the rare-first sketch (4 MB), whatever the input's size; sent in slices.
-SKETCH, SLICE = 1 << 20, 1 << 16
+#: Counters of the rare-first sketch (16 MB), whatever the input's size; sent in slices.
+SKETCH, SLICE = 1 << 22, 1 << 17
 #: Parts of the hash space whose set sizes bound the distance of two sets (the suffix filter).
 PARTS = 16
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -78,10 +78,7 @@ def _read_sets(width: int):
                 n.append(len(found))
                 cls.append(class_of(found))
                 parts.append(np.bincount((found >> np.uint64(60)).astype(np.int64), minlength=PARTS).astype(np.int32))
-                if len(found) > 4096:
-                    counts += np.bincount((found & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.int32)
-                else:
-                    np.add.at(counts, (found & np.uint64(SKETCH - 1)).astype(np.int64), 1)
+                np.add.at(counts, (found & np.uint64(SKETCH - 1)).astype(np.int64), 1)
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(parts, pa.list_(pa.int32())), pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())], schema=_FIRST)
         if counts.any():
             import zlib
@@ -111,19 +108,19 @@ def _sketch(first: DataFrame) -> np.ndarray:
     import zlib
 
     blocks = first.where("slot is not null").select("slot", "block")
-    # summed in each reading task, then by slot
-    part = blocks.mapInArrow(_sum_blocks, "slot int, block binary").repartition(SKETCH // SLICE, "slot").mapInArrow(_sum_blocks, "slot int, block binary")
+    part = blocks.repartition(SKETCH // SLICE, "slot").mapInArrow(_sum_blocks, "slot int, block binary")
     out = np.zeros(SKETCH, np.int64)
     for row in part.collect():
         out[row.slot * SLICE : (row.slot + 1) * SLICE] += np.frombuffer(zlib.decompress(row.block), np.int64)
-    return out
+    return np.minimum(out, (1 << 31) - 1).astype(np.int32)
 
 
 def _prefixes(width: int, percent: int, told):
     def run(batches):
         counts, seen = told.value, set()
+        light = 1000 + 16 * int(counts.mean())  # a shingle counted oftener is dealt to several tasks
         for batch in batches:
-            gram, cls, size, pos = [], [], [], []
+            gram, salt, cls, size, pos = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 found = shingles(text, width)
                 n = len(found)
@@ -132,12 +129,15 @@ def _prefixes(width: int, percent: int, told):
                 if len(seen) < 200_000:  # a copy in the same task sends nothing; beyond this it is harmless
                     seen.add(key)
                 k = n - need(n, percent) + 1
-                gram.append(rare_first(found, counts)[:k].view(np.int64))
+                rare = rare_first(found, counts)[:k]
+                gram.append(rare.view(np.int64))
+                parts = counts[(rare & np.uint64(SKETCH - 1)).astype(np.int64)].astype(np.int64) // light
+                salt.append(np.where(parts > 0, 1 + key % (parts + 1), 0))
                 cls.append(np.full(k, key, np.int64))
                 size.append(np.full(k, n, np.int64))
                 pos.append(np.arange(k, dtype=np.int64))
             if gram:
-                yield pa.record_batch([np.concatenate(x) for x in (gram, cls, size, pos)], names=["gram", "cls", "n", "pos"])
+                yield pa.record_batch([np.concatenate(x) for x in (gram, salt, cls, size, pos)], names=["gram", "salt", "cls", "n", "pos"])
 
     return run
 
@@ -165,7 +165,8 @@ def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, p
     near = pairs.join(of("a"), "a").join(of("b"), "b").where((100 + percent) * (F.col("n_a") + F.col("n_b") - apart) >= 2 * percent * (F.col("n_a") + F.col("n_b")))
     near = stash(near.select("a", "b", "rep_a", "rep_b"))
     wanted = near.select(F.col("rep_a").alias("doc_id")).union(near.select("rep_b")).distinct()
-    sets = stash(docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_whole_sets(width), "cls bigint, grams array<bigint>"))
+    some = docs.where(maybe_in(wanted, "doc_id")(F.col("doc_id")))
+    sets = stash(some.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_whole_sets(width), "cls bigint, grams array<bigint>"))
     sets = sets.dropDuplicates(["cls"])
     a, b = sets.select(F.col("cls").alias("a"), F.col("grams").alias("set_a")), sets.select(F.col("cls").alias("b"), F.col("grams").alias("set_b"))
     both = near.select("a", "b").join(a, "a").join(b, "b").withColumn("same", F.size(F.array_intersect("set_a", "set_b")))
@@ -180,28 +181,30 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     usable = docs.where("doc_id is not null")
     classes = stash(first.where("slot is null and n > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("parts").alias("parts")))
     told = spark.sparkContext.broadcast(_sketch(first))  # SKETCH counters: a fixed size
-    prefixes = stash(usable.mapInArrow(_prefixes(width, percent, told), "gram bigint, cls bigint, n bigint, pos bigint"))
-    shared = prefixes.groupBy("gram").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low <> high").select("gram")
-    met = stash(prefixes.join(shared, "gram").groupBy("gram", "cls").agg(F.min("n").alias("n"), F.min("pos").alias("pos")))
-
-    links, comp = None, None
-    for hub in ("min", "max", None):
-        now = met.withColumn("comp", F.col("cls")) if comp is None else met.join(comp, met.cls == comp.node, "left").select("gram", "cls", "n", "pos", F.coalesce("comp", "cls").alias("comp"))
-        mixed = now.groupBy("gram").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("gram")
-        now = stash(now.join(mixed, "gram"))
-        if hub:  # every member of a bucket against one
-            row = F.struct("cls", "n", "pos", "comp")
-            y = now.groupBy("gram").agg((F.min(row) if hub == "min" else F.max(row)).alias("h")).select("gram", "h.*")
-            apart = F.col("x.comp") != F.col("y.comp")
-        else:  # members outside a bucket's largest component against all
-            top = now.groupBy("gram", "comp").count().groupBy("gram").agg(F.max_by("comp", F.struct("count", "comp")).alias("top"))
-            y = now.join(top, "gram").where("comp <> top")
-            apart = (F.col("x.comp") != F.col("y.comp")) & ((F.col("x.comp") == F.col("y.top")) | (F.col("x.cls") < F.col("y.cls")))
-        pairs = now.alias("x").join(y.alias("y"), (F.col("x.gram") == F.col("y.gram")) & apart & _might_link(percent))
-        pairs = pairs.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
-        found = stash(_verify(pairs, classes, usable, width, percent))
-        links = found if links is None else links.union(found)
-        comp = components(links)
+    prefixes = usable.mapInArrow(_prefixes(width, percent, told), "gram bigint, salt bigint, cls bigint, n bigint, pos bigint")
+    # one shuffle: in each bucket a member meets the first one and the one before it; lone members go
+    bucket, row = Window.partitionBy("gram", "salt").orderBy("cls"), F.struct("cls", "n", "pos")
+    met = prefixes.select("*", F.first(row).over(bucket).alias("hub"), F.lag(row).over(bucket).alias("last"), F.lead("cls").over(bucket).alias("later"))
+    alone = (F.col("hub.cls") == F.col("cls")) & (F.coalesce("later", "cls") == F.col("cls"))
+    met = stash(met.where(~alone | (F.col("salt") > 0)).select("gram", "cls", "n", "pos", "hub", "last"))
+
+    # of each kind the partner that a class meets in most buckets; the others are compared below, if that is not enough
+    tries = [met.select(F.struct("cls", "n", "pos").alias("x"), F.col(c).alias("y")).where("x.cls <> y.cls").where(_might_link(percent)).select(F.lit(c).alias("kind"), F.col("x.cls").alias("x"), F.col("y.cls").alias("y")) for c in ("hub", "last")]
+    best = tries[0].union(tries[1]).groupBy("kind", "x", "y").count().groupBy("kind", "x").agg(F.max_by("y", F.struct("count", "y")).alias("y"))
+    pairs = best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    links = stash(_verify(pairs, classes, usable, width, percent))
+    comp = components(links)
+    # what is not in one component yet: members outside a bucket's largest component against all
+    now = met.select("gram", "cls", "n", "pos").join(comp, met.cls == comp.node, "left").select("gram", "cls", "n", "pos", F.coalesce("comp", "cls").alias("comp"))
+    now = stash(now)
+    mixed = now.groupBy("gram").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("gram")
+    now = stash(now.join(mixed, "gram").distinct())
+    top = now.groupBy("gram", "comp").count().groupBy("gram").agg(F.max_by("comp", F.struct("count", "comp")).alias("top"))
+    y = now.join(top, "gram").where("comp <> top")
+    apart = (F.col("x.comp") != F.col("y.comp")) & ((F.col("x.comp") == F.col("y.top")) | (F.col("x.cls") < F.col("y.cls")))
+    pairs = now.alias("x").join(y.alias("y"), (F.col("x.gram") == F.col("y.gram")) & apart & _might_link(percent))
+    pairs = pairs.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
+    comp = components(links.union(stash(_verify(pairs, classes, usable, width, percent))))
     label = comp.join(classes, comp.node == classes.cls).select("cls", "comp", "rep")
     label = label.join(label.groupBy("comp").agg(F.min("rep").alias("least")), "comp").select("cls", "least")
     ids = classes.join(label, "cls", "left").select("cls", F.coalesce("least", "rep").alias("least"))
