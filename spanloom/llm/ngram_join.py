@@ -4,7 +4,7 @@ A document's set holds its distinct ``width``-word shingles (64-bit hashes). Doc
 form one class at once, so exact copies never meet as pairs. Shingles are put in one global order, rare
 first, by a counting sketch of fixed size over all documents; the order only steers cost, any order
 gives the same links. The rarest shingles of each class - enough that two linked classes must share
-one - are joined. Inside a shingle's bucket each member meets the first one and the one before it, and is compared with those it meets
+one - are joined. Inside a shingle's bucket, in the order of how few rarer shingles its members have, each member meets the first one and the one before it, and is compared with those it meets
 most; then classes of one bucket that are not yet in one component are all compared, so a large group of
 near copies needs about two comparisons a member and no link that could matter is left out. Buckets that the sketch shows to be large are dealt to several tasks first. Every surviving pair is verified once on its whole sets.
 
@@ -183,7 +183,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     told = spark.sparkContext.broadcast(_sketch(first))  # SKETCH counters: a fixed size
     prefixes = usable.mapInArrow(_prefixes(width, percent, told), "gram bigint, salt bigint, cls bigint, n bigint, pos bigint")
     # one shuffle: in each bucket a member meets the first one and the one before it; lone members go
-    bucket, row = Window.partitionBy("gram", "salt").orderBy("cls"), F.struct("cls", "n", "pos")
+    bucket, row = Window.partitionBy("gram", "salt").orderBy("pos", "cls"), F.struct("cls", "n", "pos")
     met = prefixes.select("*", F.first(row).over(bucket).alias("hub"), F.lag(row).over(bucket).alias("last"), F.lead("cls").over(bucket).alias("later"))
     alone = (F.col("hub.cls") == F.col("cls")) & (F.coalesce("later", "cls") == F.col("cls"))
     met = stash(met.where(~alone | (F.col("salt") > 0)).select("gram", "cls", "n", "pos", "hub", "last"))
