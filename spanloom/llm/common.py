@@ -34,12 +34,29 @@ def work_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/spanloom-{uuid.uuid4().hex}"
 
 
+#: Shuffle files go when the execution that made them ends; what it wrote stays.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stash(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Write df to the shared work folder and read it back: cuts lineage, survives lost executors."""
     spark, path = df.sparkSession, work_folder(df.sparkSession)
-    writer = df.write
-    (writer.partitionBy(*by) if by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    writer, before = df.write, spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        (writer.partitionBy(*by) if by else writer).parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stashed_at = path
+    return out
+
+
+def unstash(*dfs: DataFrame) -> None:
+    """Delete stashed tables that nothing reads any more."""
+    for df in dfs:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stashed_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fold(doc_id, mod: int):
@@ -60,18 +77,21 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """
     both = stash(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
     labels = both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("comp"))
-    labels = stash(labels)
+    labels, new = stash(labels), None
     for _ in range(rounds):
         told = both.join(labels, both.a == labels.node).groupBy(F.col("b").alias("node")).agg(F.min("comp").alias("near"))
         step = labels.join(told, "node").select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
         step = stash(step)
         at = step.select(F.col("node").alias("comp"), F.col("comp").alias("root"))
-        new = stash(step.join(at, "comp").select("node", F.least("comp", "root").alias("comp"), (F.least("comp", "root") != F.col("old")).alias("moved")))
+        old, new = new or labels, stash(step.join(at, "comp").select("node", F.least("comp", "root").alias("comp"), (F.least("comp", "root") != F.col("old")).alias("moved")))
         labels = new.select("node", "comp")
+        unstash(old, step)
         if not new.where("moved").limit(1).count():
             break
     else:
         raise RuntimeError("components did not settle")
+    unstash(both)
+    labels.stashed_at = new.stashed_at
     return labels
 
 

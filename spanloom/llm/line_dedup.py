@@ -20,16 +20,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import UPPER, maybe_in, stash
+from spanloom.llm.common import UPPER, maybe_in, stash, unstash
 
 SHORTEST = 5
 #: Word hashes are summed; this many bits keep the sum of a million words within a bigint.
 _MASK = (1 << 42) - 1
 _KEY = ["h1", "h2"]
+_KEYS = ["key0", "key1", "key2", "key3"]
 
 
 def words_of(line: Column) -> Column:
-    return F.array_remove(F.split(F.translate(line, UPPER + "\t\r\x0b\x0c", UPPER.lower() + "    "), " "), "")
+    """A-Z lowered; a line of ASCII alone takes the quicker function for it."""
+    plain = line
+    for blank in "\t\r\x0b\x0c":
+        plain = F.replace(plain, F.lit(blank), F.lit(" "))
+    lowered = F.when(F.octet_length(line) == F.char_length(line), F.lower(plain)).otherwise(F.translate(plain, UPPER, UPPER.lower()))
+    return F.array_remove(F.split(lowered, " "), "")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -37,15 +43,21 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _read(lines: DataFrame, shortest: int) -> DataFrame:
-    """doc_id, line_no, 128-bit hash, number of words and four keys of halves."""
-    read = lines.withColumn("words", words_of(F.col("line"))).withColumn("n", F.size("words")).where(F.col("n") >= shortest)
+    """doc_id, line_no, 128-bit hash and four keys of halves."""
+    # explode() binds the words once: a filter on them isn't pushed below, where they would be made again
+    read = lines.select("doc_id", "line_no", F.explode(F.array(words_of(F.col("line")))).alias("words")).withColumn("n", F.size("words")).where(F.col("n") >= shortest)
 
     def halves(m: Column) -> list[Column]:  # for partners of which the shorter one has m words
         h = F.floor(m / 2).cast("int")
         return [F.xxhash64(m, F.lit("first"), F.slice("words", F.lit(1), h)), F.xxhash64(m, F.lit("last"), F.slice("words", F.col("n") - (m - h) + 1, m - h))]
 
-    keys = F.array(*halves(F.col("n")), *halves(F.col("n") - 1))
-    return read.select("doc_id", "line_no", "n", F.xxhash64("words").alias("h1"), F.xxhash64(F.lit("second"), "words").alias("h2"), keys.alias("keys"))
+    keys = [k.alias(f"key{i}") for i, k in enumerate([*halves(F.col("n")), *halves(F.col("n") - 1)])]
+    return read.select("doc_id", "line_no", F.xxhash64("words").alias("h1"), F.xxhash64(F.lit("second"), "words").alias("h2"), *keys)
+
+
+def _place() -> Column:
+    """(doc_id, line_no) as one number of the same order, so that sums by hash can hold it."""
+    return F.col("doc_id").cast("decimal(19,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("line_no").cast("decimal(10,0)")
 
 
 def within_one(a: Column, b: Column) -> Column:
@@ -58,57 +70,68 @@ def within_one(a: Column, b: Column) -> Column:
 
 def _near(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     """Hashes of the distinct lines that have an earlier one within one edit."""
-    keys = distinct.select("h1", "h2", F.explode("keys").alias("key"))
+    keys = distinct.select("h1", "h2", F.explode(F.array(*_KEYS)).alias("key"))
     shared = keys.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low <> high").select("key")
-    able = stash(keys.join(shared, "key").select(*_KEY).distinct().join(distinct, _KEY).select(*_KEY, "first"))
+    able = keys.join(shared, "key").select(*_KEY).distinct().join(distinct, _KEY)
+    line_no = F.pmod("first", F.lit(1 << 31).cast("decimal(10,0)"))
+    able = able.select(*_KEY, line_no.cast("int").alias("line_no"), ((F.col("first") - line_no) / F.lit(1 << 31).cast("decimal(10,0)")).cast("bigint").alias("doc_id"))
+    # numbers in the order of the lines: ranges are in order, and so are the rows of each
+    able = stash(able.repartitionByRange("doc_id", "line_no").sortWithinPartitions("doc_id", "line_no").withColumn("id", F.monotonically_increasing_id()))
     # their words again, from the documents of their first places
-    places = able.select("h1", "h2", "first", F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"))
-    kept = docs.where("text is not null").where(maybe_in(places, "doc_id")(F.col("doc_id"))).select("doc_id", "text")
-    texts = places.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "h1", "h2", "first")).alias("wanted")).join(kept, "doc_id")
+    kept = docs.where("text is not null").where(maybe_in(able, "doc_id")(F.col("doc_id"))).select("doc_id", "text")
+    texts = able.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "h1", "h2", "id")).alias("wanted")).join(kept, "doc_id")
     lined = texts.withColumn("lines", F.split("text", "\n")).select("lines", F.explode("wanted").alias("w"))
-    worded = lined.select("w.h1", "w.h2", "w.first", words_of(F.get("lines", F.col("w.line_no"))).alias("words"))
-    worded = stash(worded.where((F.xxhash64("words") == F.col("h1")) & (F.xxhash64(F.lit("second"), "words") == F.col("h2"))).dropDuplicates(_KEY))
+    worded = lined.select("w.h1", "w.h2", "w.id", F.explode(F.array(words_of(F.get("lines", F.col("w.line_no"))))).alias("words"))
+    worded = stash(worded.where((F.xxhash64("words") == F.col("h1")) & (F.xxhash64(F.lit("second"), "words") == F.col("h2"))).dropDuplicates(["id"]))
 
-    at = worded.select(*_KEY, "first", F.size("words").alias("n"), F.posexplode("words").alias("pos", "word"))
+    # dealt by line before the words are told apart: the sums below need no further shuffle
+    at = worded.select("id", "words").repartition("id").select("id", F.size("words").alias("n"), F.posexplode("words").alias("pos", "word"))
     for s in ("a", "b"):
         for name, pos in (("own", F.col("pos")), ("moved", F.col("pos") - 1)):
             at = at.withColumn(f"{name}_{s}", F.xxhash64(F.lit(s), "word", pos).bitwiseAND(F.lit(_MASK)))
-    all_, so_far = Window.partitionBy(*_KEY), Window.partitionBy(*_KEY).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    all_, so_far = Window.partitionBy("id"), Window.partitionBy("id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     cols = [F.sum(f"own_{s}").over(so_far).alias(f"own_before_{s}") for s in "ab"] + [F.sum(f"moved_{s}").over(so_far).alias(f"moved_before_{s}") for s in "ab"]
     cols += [F.sum(f"own_{s}").over(all_).alias(f"full_{s}") for s in "ab"] + [F.sum(f"moved_{s}").over(all_).alias(f"moved_all_{s}") for s in "ab"]
     summed = at.select("*", *cols)
     variant = lambda s: F.col(f"own_before_{s}") - F.col(f"own_{s}") + F.col(f"moved_all_{s}") - F.col(f"moved_before_{s}")
-    variants = stash(summed.select(*_KEY, "first", "n", "pos", variant("a").alias("va"), variant("b").alias("vb"), "full_a", "full_b"))
-
-    one = F.struct("first", *_KEY)
-    bucket = variants.groupBy("n", "pos", "va", "vb").agg(F.min(one).alias("top"), F.max(one).alias("low")).where("top <> low").select("n", "pos", "va", "vb", "top")
-    replaced = variants.join(bucket, ["n", "pos", "va", "vb"]).where(F.col("first") > F.col("top.first")).select("h1", "h2", F.col("top.h1").alias("e1"), F.col("top.h2").alias("e2"))
-    whole = variants.where("pos = 0").select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("first").alias("short_first"), F.col("n").alias("m"), "full_a", "full_b")
-    longer = variants.drop("full_a", "full_b").join(whole, (F.col("n") - 1 == F.col("m")) & (F.col("va") == F.col("full_a")) & (F.col("vb") == F.col("full_b")))
-    late = F.col("first") > F.col("short_first")
-    pick = lambda x, y: F.when(late, F.col(x)).otherwise(F.col(y))
-    put_in = longer.select(pick("h1", "g1").alias("h1"), pick("h2", "g2").alias("h2"), pick("g1", "h1").alias("e1"), pick("g2", "h2").alias("e2"))
-    links = replaced.union(put_in).distinct()
-    early = worded.select(F.col("h1").alias("e1"), F.col("h2").alias("e2"), F.col("words").alias("early"))
-    checked = links.join(worded.select(*_KEY, "words"), _KEY).join(early, ["e1", "e2"]).where(within_one(F.col("words"), F.col("early")))
-    return stash(checked.select(*_KEY).distinct())
+    one = lambda n, pos, a, b: F.struct(pos.alias("pos"), F.xxhash64(n, a, b).alias("va"), b.alias("vb"))
+    own = one(F.col("n") - 1, F.col("pos"), variant("a"), variant("b"))
+    # the whole line, once, at place -1
+    whole = F.when(F.col("pos") == 0, F.array(own, one(F.col("n"), F.lit(-1), F.col("full_a"), F.col("full_b")))).otherwise(F.array(own))
+    variants = stash(summed.select("id", F.inline(whole)))
+
+    parts = variants.where("pos >= 0")
+    bucket = parts.groupBy("va", "vb", "pos").agg(F.min("id").alias("top"), F.max("id").alias("low")).where("top <> low")
+    hubs = bucket.select("va", "vb", F.col("pos").alias("at"), "top").union(variants.where("pos = -1").select("va", "vb", "pos", "id"))
+    # a replaced word: the earliest of those with this variant at this place; a word more: the line equal to the variant
+    met = parts.join(hubs, ["va", "vb"]).where(((F.col("at") - F.col("pos") == 0) | (F.col("at") < 0)) & (F.col("id") != F.col("top")))
+    links = met.select(F.greatest("id", "top").alias("id"), F.least("id", "top").alias("early")).distinct()
+    words = worded.select("id", "words")
+    checked = links.join(worded, "id").join(words.toDF("early", "early_words"), "early").where(within_one(F.col("words"), F.col("early_words")))
+    near = stash(checked.select(*_KEY).distinct())
+    unstash(able, worded, variants)
+    return near
 
 
 def removed(docs: DataFrame, shortest: int = SHORTEST) -> DataFrame:
     """``doc_id, line_no`` of every line to drop."""
     docs = docs.select("doc_id", "text")
     read = stash(_read(_lines(docs), shortest))
-    distinct = stash(read.groupBy(*_KEY).agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.max("keys").alias("keys"), F.count("*").alias("times")))
+    distinct = stash(read.groupBy(*_KEY).agg(F.min(_place()).alias("first"), *[F.max(k).alias(k) for k in _KEYS], F.count("*").alias("times")))
     near = _near(docs, distinct).withColumn("near", F.lit(True))
     # only lines that lose an occurrence go on
     verdict = distinct.join(near, _KEY, "left").where("times > 1 or near").select(*_KEY, "first", F.coalesce("near", F.lit(False)).alias("near"))
     met = read.select("doc_id", "line_no", *_KEY).join(verdict, _KEY)
-    return met.where(F.col("near") | (F.struct("doc_id", "line_no") != F.col("first"))).select("doc_id", "line_no")
+    out = stash(met.where(F.col("near") | (_place() != F.col("first"))).select("doc_id", "line_no"))
+    unstash(read, distinct)
+    return out
 
 
 def drop_lines(docs: DataFrame, shortest: int = SHORTEST) -> DataFrame:
     """The documents, all columns, with the repeated lines cut from ``text``, and the count ``lines_removed``."""
-    gone = stash(removed(docs, shortest).groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("gone_lines")))
+    lines = removed(docs, shortest)
+    gone = stash(lines.groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("gone_lines")))
+    unstash(lines)
     touched = F.col("doc_id").isNotNull() & maybe_in(gone, "doc_id")(F.col("doc_id"))
     own = [F.col(c) for c in docs.columns if c not in ("text", "lines_removed")]
     marked = docs.withColumn("touched__", touched)
