@@ -68,15 +68,19 @@ def within_one(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), rest(a, p + 1) == rest(b, p + 1)).when(F.size(a) + 1 == F.size(b), rest(a, p) == rest(b, p + 1)).when(F.size(a) == F.size(b) + 1, rest(a, p + 1) == rest(b, p)).otherwise(False)
 
 
-def _near(docs: DataFrame, distinct: DataFrame) -> DataFrame:
-    """Hashes of the distinct lines that have an earlier one within one edit."""
+def _able(distinct: DataFrame) -> DataFrame:
+    """The distinct lines that share a half with another one, with their first places, numbered in that order."""
     keys = distinct.select("h1", "h2", F.explode(F.array(*_KEYS)).alias("key"))
     shared = keys.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low <> high").select("key")
     able = keys.join(shared, "key").select(*_KEY).distinct().join(distinct, _KEY)
     line_no = F.pmod("first", F.lit(1 << 31).cast("decimal(10,0)"))
     able = able.select(*_KEY, line_no.cast("int").alias("line_no"), ((F.col("first") - line_no) / F.lit(1 << 31).cast("decimal(10,0)")).cast("bigint").alias("doc_id"))
     # numbers in the order of the lines: ranges are in order, and so are the rows of each
-    able = stash(able.repartitionByRange("doc_id", "line_no").sortWithinPartitions("doc_id", "line_no").withColumn("id", F.monotonically_increasing_id()))
+    return stash(able.repartitionByRange("doc_id", "line_no").sortWithinPartitions("doc_id", "line_no").withColumn("id", F.monotonically_increasing_id()))
+
+
+def _near(docs: DataFrame, able: DataFrame) -> DataFrame:
+    """Hashes of the distinct lines that have an earlier one within one edit."""
     # their words again, from the documents of their first places
     kept = docs.where("text is not null").where(maybe_in(able, "doc_id")(F.col("doc_id"))).select("doc_id", "text")
     texts = able.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "h1", "h2", "id")).alias("wanted")).join(kept, "doc_id")
@@ -101,7 +105,7 @@ def _near(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     variants = stash(summed.select("id", F.inline(whole)))
 
     parts = variants.where("pos >= 0")
-    bucket = parts.groupBy("va", "vb", "pos").agg(F.min("id").alias("top"), F.max("id").alias("low")).where("top <> low")
+    bucket = parts.groupBy("va", "vb", "pos").agg(F.min("id").alias("top"), F.count("*").alias("lines")).where("lines > 1")
     hubs = bucket.select("va", "vb", F.col("pos").alias("at"), "top").union(variants.where("pos = -1").select("va", "vb", "pos", "id"))
     # a replaced word: the earliest of those with this variant at this place; a word more: the line equal to the variant
     met = parts.join(hubs, ["va", "vb"]).where(((F.col("at") - F.col("pos") == 0) | (F.col("at") < 0)) & (F.col("id") != F.col("top")))
@@ -118,12 +122,15 @@ def removed(docs: DataFrame, shortest: int = SHORTEST) -> DataFrame:
     docs = docs.select("doc_id", "text")
     read = stash(_read(_lines(docs), shortest))
     distinct = stash(read.groupBy(*_KEY).agg(F.min(_place()).alias("first"), *[F.max(k).alias(k) for k in _KEYS], F.count("*").alias("times")))
-    near = _near(docs, distinct).withColumn("near", F.lit(True))
+    able = _able(distinct)
     # only lines that lose an occurrence go on
-    verdict = distinct.join(near, _KEY, "left").where("times > 1 or near").select(*_KEY, "first", F.coalesce("near", F.lit(False)).alias("near"))
+    again = stash(distinct.where("times > 1").select(*_KEY, "first", F.lit(False).alias("near")))
+    unstash(distinct)
+    near = _near(docs, able).select(*_KEY, F.lit(None).cast(again.schema["first"].dataType).alias("first"), F.lit(True).alias("near"))
+    verdict = again.union(near).groupBy(*_KEY).agg(F.max("first").alias("first"), F.max("near").alias("near"))
     met = read.select("doc_id", "line_no", *_KEY).join(verdict, _KEY)
     out = stash(met.where(F.col("near") | (_place() != F.col("first"))).select("doc_id", "line_no"))
-    unstash(read, distinct)
+    unstash(read, again)
     return out
 
 
