@@ -16,19 +16,23 @@ input columns are ignored, so clashing names are harmless.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import components, docs_of, maybe_in, stash
+from spanloom.llm.common import components, docs_of, maybe_in, stash, unstash
 
 WIDTH, PERCENT = 5, 80
 #: Counters of the rare-first sketch (16 MB), whatever the input's size; sent in slices.
 SKETCH, SLICE = 1 << 22, 1 << 17
 #: Parts of the hash space whose set sizes bound the distance of two sets (the suffix filter).
 PARTS = 16
+#: Finer parts of which only the parity is kept, as bits: those that differ are a bound too, and cheap to count.
+PARITY = 512
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -65,27 +69,28 @@ def need(n: int, percent: int = PERCENT) -> int:
     return -(-n * percent // 100)
 
 
-_FIRST = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("parts", pa.list_(pa.int32())), ("slot", pa.int32()), ("block", pa.binary())])
+_FIRST = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("parts", pa.list_(pa.int32())), ("parity", pa.list_(pa.int64())), ("slot", pa.int32()), ("block", pa.binary())])
 
 
 def _read_sets(width: int):
     def run(batches):
         counts = np.zeros(SKETCH, np.int32)
         for batch in batches:
-            ids, n, cls, parts = batch.column(0).to_pylist(), [], [], []
+            ids, n, cls, parts, parity = batch.column(0).to_pylist(), [], [], [], []
             for text in batch.column(1).to_pylist():
                 found = shingles(text, width)
                 n.append(len(found))
                 cls.append(class_of(found))
                 parts.append(np.bincount((found >> np.uint64(60)).astype(np.int64), minlength=PARTS).astype(np.int32))
+                parity.append(np.packbits(np.bincount(((found >> np.uint64(32)) & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY).astype(np.uint8) & 1).view(np.int64))
                 np.add.at(counts, (found & np.uint64(SKETCH - 1)).astype(np.int64), 1)
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(parts, pa.list_(pa.int32())), pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())], schema=_FIRST)
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(parts, pa.list_(pa.int32())), pa.array(parity, pa.list_(pa.int64())), pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())], schema=_FIRST)
         if counts.any():
             import zlib
 
             slots = list(range(SKETCH // SLICE))
             blocks = [zlib.compress(counts[s * SLICE : (s + 1) * SLICE].astype(np.int64).tobytes(), 1) for s in slots]
-            yield pa.record_batch([pa.nulls(len(slots), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()))] + [pa.array(slots, pa.int32()), pa.array(blocks, pa.binary())], schema=_FIRST)
+            yield pa.record_batch([pa.nulls(len(slots), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()))] + [pa.array(slots, pa.int32()), pa.array(blocks, pa.binary())], schema=_FIRST)
 
     return run
 
@@ -158,28 +163,43 @@ def _might_link(percent: int):
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * least >= percent * (n + m))
 
 
+def _parity_fits(x: str, y: str, n, m, percent: int):
+    """Parities that differ are at most what the sets of two linked classes differ in."""
+    apart = sum((F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))) for i in range(PARITY // 64)), F.lit(0))
+    return (100 + percent) * apart <= (100 - percent) * (n + m)
+
+
+def _bands(percent: int):
+    """Bands of set sizes: those of two linked classes are the same or neighbours."""
+    step = math.log(max(100 / percent, 1.01)) * 1.001
+    return F.floor(F.log(F.col("n").cast("double")) / step).cast("int")
+
+
 def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """``pairs(a, b)``, each once, to those that link: suffix filter on set sizes by part, then whole sets."""
-    of = lambda s: classes.select(F.col("cls").alias(s), F.col("n").alias(f"n_{s}"), F.col("parts").alias(f"parts_{s}"), F.col("rep").alias(f"rep_{s}"))
+    of = lambda s: classes.select(F.col("cls").alias(s), F.col("n").alias(f"n_{s}"), F.col("parts").alias(f"parts_{s}"), F.col("parity").alias(f"parity_{s}"), F.col("rep").alias(f"rep_{s}"))
     apart = F.aggregate(F.zip_with("parts_a", "parts_b", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
     near = pairs.join(of("a"), "a").join(of("b"), "b").where((100 + percent) * (F.col("n_a") + F.col("n_b") - apart) >= 2 * percent * (F.col("n_a") + F.col("n_b")))
+    near = near.where(_parity_fits("parity_a", "parity_b", F.col("n_a"), F.col("n_b"), percent))
     near = stash(near.select("a", "b", "rep_a", "rep_b"))
     wanted = near.select(F.col("rep_a").alias("doc_id")).union(near.select("rep_b")).distinct()
     some = docs.where(maybe_in(wanted, "doc_id")(F.col("doc_id")))
     sets = stash(some.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_whole_sets(width), "cls bigint, grams array<bigint>"))
-    sets = sets.dropDuplicates(["cls"])
-    a, b = sets.select(F.col("cls").alias("a"), F.col("grams").alias("set_a")), sets.select(F.col("cls").alias("b"), F.col("grams").alias("set_b"))
+    one = sets.dropDuplicates(["cls"])
+    a, b = one.select(F.col("cls").alias("a"), F.col("grams").alias("set_a")), one.select(F.col("cls").alias("b"), F.col("grams").alias("set_b"))
     both = near.select("a", "b").join(a, "a").join(b, "b").withColumn("same", F.size(F.array_intersect("set_a", "set_b")))
-    return both.where(100 * F.col("same") >= percent * (F.size("set_a") + F.size("set_b") - F.col("same"))).select("a", "b")
+    out = stash(both.where(100 * F.col("same") >= percent * (F.size("set_a") + F.size("set_b") - F.col("same"))).select("a", "b"))
+    unstash(near, sets)
+    return out
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of docs; see the module's text."""
     spark, docs = docs.sparkSession, docs_of(docs)
-    first = stash(docs.mapInArrow(_read_sets(width), "doc_id bigint, n bigint, cls bigint, parts array<int>, slot int, block binary"))
+    first = stash(docs.mapInArrow(_read_sets(width), "doc_id bigint, n bigint, cls bigint, parts array<int>, parity array<bigint>, slot int, block binary"))
     rows = first.where("slot is null").select("doc_id", "n", "cls")
     usable = docs.where("doc_id is not null")
-    classes = stash(first.where("slot is null and n > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("parts").alias("parts")))
+    classes = stash(first.where("slot is null and n > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("parts").alias("parts"), F.max("parity").alias("parity")))
     told = spark.sparkContext.broadcast(_sketch(first))  # SKETCH counters: a fixed size
     prefixes = usable.mapInArrow(_prefixes(width, percent, told), "gram bigint, salt bigint, cls bigint, n bigint, pos bigint")
     # one shuffle: in each bucket a member meets the first one and the one before it; lone members go
@@ -192,19 +212,25 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     tries = [met.select(F.struct("cls", "n", "pos").alias("x"), F.col(c).alias("y")).where("x.cls <> y.cls").where(_might_link(percent)).select(F.lit(c).alias("kind"), F.col("x.cls").alias("x"), F.col("y.cls").alias("y")) for c in ("hub", "last")]
     best = tries[0].union(tries[1]).groupBy("kind", "x", "y").count().groupBy("kind", "x").agg(F.max_by("y", F.struct("count", "y")).alias("y"))
     pairs = best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    links = stash(_verify(pairs, classes, usable, width, percent))
+    links = _verify(pairs, classes, usable, width, percent)
     comp = components(links)
     # what is not in one component yet: members outside a bucket's largest component against all
     now = met.select("gram", "cls", "n", "pos").join(comp, met.cls == comp.node, "left").select("gram", "cls", "n", "pos", F.coalesce("comp", "cls").alias("comp"))
     now = stash(now)
+    unstash(met, comp)
     mixed = now.groupBy("gram").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("gram")
-    now = stash(now.join(mixed, "gram").distinct())
-    top = now.groupBy("gram", "comp").count().groupBy("gram").agg(F.max_by("comp", F.struct("count", "comp")).alias("top"))
-    y = now.join(top, "gram").where("comp <> top")
+    some = stash(now.join(mixed, "gram").distinct())
+    unstash(now)
+    now = some.join(classes.select("cls", "parity"), "cls").withColumn("band", _bands(percent))
+    top = some.groupBy("gram", "comp").count().groupBy("gram").agg(F.max_by("comp", F.struct("count", "comp")).alias("top"))
+    y = now.join(top, "gram").where("comp <> top").withColumn("band", F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)])))
     apart = (F.col("x.comp") != F.col("y.comp")) & ((F.col("x.comp") == F.col("y.top")) | (F.col("x.cls") < F.col("y.cls")))
-    pairs = now.alias("x").join(y.alias("y"), (F.col("x.gram") == F.col("y.gram")) & apart & _might_link(percent))
+    fits = _might_link(percent) & _parity_fits("x.parity", "y.parity", F.col("x.n"), F.col("y.n"), percent)
+    pairs = now.alias("x").join(y.alias("y"), (F.col("x.gram") == F.col("y.gram")) & (F.col("x.band") == F.col("y.band")) & apart & fits)
     pairs = pairs.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
-    comp = components(links.union(stash(_verify(pairs, classes, usable, width, percent))))
+    more = _verify(pairs, classes, usable, width, percent)
+    comp = components(links.union(more))
+    unstash(some, links, more)
     label = comp.join(classes, comp.node == classes.cls).select("cls", "comp", "rep")
     label = label.join(label.groupBy("comp").agg(F.min("rep").alias("least")), "comp").select("cls", "least")
     ids = classes.join(label, "cls", "left").select("cls", F.coalesce("least", "rep").alias("least"))
