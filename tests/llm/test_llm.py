@@ -214,6 +214,18 @@ def _end(m, word):
     return math.log10(brown_lm.MIX * m.step[kind, m.of[brown_lm.END]] * m.emit[brown_lm.END] + (1 - brown_lm.MIX) * m.flat)
 
 
+def test_brown_rare_words_get_classes_by_their_transitions(spark, monkeypatch):
+    monkeypatch.setattr(brown_lm, "KNOWN", brown_lm.WORDS + 2)  # most rare words meet their classes in a join
+    r, rows = random.Random(7), []
+    for i in range(600):  # frequent words of two sorts in turn, and rare ones of either sort, all spelt with the same end
+        rows.append((i, " ".join(f"{'nv'[k % 2]}{i}rare" if k % 12 in (0, 5) else f"{'nv'[k % 2]}{r.randrange(500)}{'xy'[k % 2]}" for k in range(96))))
+    m, counts = brown_lm.train(spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("doc_id", "text", "false as held_out"))
+    got = {bytes(x.word).decode(): (x.n, x.kind) for x in counts.collect()}
+    assert {w: n for w, (n, _) in got.items()} == collections.Counter(w for _, t in rows for w in t.split())
+    met = [collections.Counter(kind for w, (n, kind) in got.items() if w.endswith("rare") and w[0] == c) for c in "nv"]
+    assert (met[0] & met[1]).total() <= 0.05 * met[0].total() and (met[0] + met[1]).total() == 1200
+
+
 def test_exchange_finds_classes():
     r = np.random.RandomState(0)
     pairs = np.zeros((40, 40), np.int64)
