@@ -21,7 +21,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def cut_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go; a document of which nothing is left goes with them."""
-    done = line_dedup.drop_lines(docs).where((F.col("lines_removed") == 0) | (F.length(F.trim("text")) > 0))
+    done = line_dedup.drop_lines(docs, least=1).where((F.col("lines_removed") == 0) | (F.length(F.trim("text")) > 0))
     chars = F.when(F.col("lines_removed") == 0, F.col("n_chars")).otherwise(F.char_length("text").cast("bigint"))
     return done.withColumn("n_chars", chars).select(docs.columns)
 

@@ -2,7 +2,8 @@
 
 Lines are compared by their words (A-Z lowered, ASCII blanks apart); the edit bound is one word put in, left out
 or replaced. A line of at least ``SHORTEST`` words is dropped when an earlier line - by (doc_id, line number) - is
-equal or within the bound; of each set of equal lines only the earliest can stay.
+equal or within the bound; of each set of equal lines only the earliest can stay. ``least`` (by default the same
+number) is the words a line needs to be dropped as an equal one alone; the queries take 1, so only blank lines stay.
 
 Equal lines are found by a 128-bit hash. Of the distinct lines, those within the bound must share their first or
 last half with their partner (no pair is lost by this), so only lines with a shared half emit their variants:
@@ -42,16 +43,16 @@ def _lines(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id is not null and text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
-def _read(lines: DataFrame, shortest: int) -> DataFrame:
-    """doc_id, line_no, 128-bit hash and four keys of halves."""
+def _read(lines: DataFrame, shortest: int, least: int) -> DataFrame:
+    """doc_id, line_no, 128-bit hash and four keys of halves (null under ``shortest`` words)."""
     # explode() binds the words once: a filter on them isn't pushed below, where they would be made again
-    read = lines.select("doc_id", "line_no", F.explode(F.array(words_of(F.col("line")))).alias("words")).withColumn("n", F.size("words")).where(F.col("n") >= shortest)
+    read = lines.select("doc_id", "line_no", F.explode(F.array(words_of(F.col("line")))).alias("words")).withColumn("n", F.size("words")).where(F.col("n") >= least)
 
     def halves(m: Column) -> list[Column]:  # for partners of which the shorter one has m words
         h = F.floor(m / 2).cast("int")
         return [F.xxhash64(m, F.lit("first"), F.slice("words", F.lit(1), h)), F.xxhash64(m, F.lit("last"), F.slice("words", F.col("n") - (m - h) + 1, m - h))]
 
-    keys = [k.alias(f"key{i}") for i, k in enumerate([*halves(F.col("n")), *halves(F.col("n") - 1)])]
+    keys = [F.when(F.col("n") >= shortest, k).alias(f"key{i}") for i, k in enumerate([*halves(F.col("n")), *halves(F.col("n") - 1)])]
     return read.select("doc_id", "line_no", F.xxhash64("words").alias("h1"), F.xxhash64(F.lit("second"), "words").alias("h2"), *keys)
 
 
@@ -70,7 +71,7 @@ def within_one(a: Column, b: Column) -> Column:
 
 def _able(distinct: DataFrame) -> DataFrame:
     """The distinct lines that share a half with another one, with their first places, numbered in that order."""
-    keys = distinct.select("h1", "h2", F.explode(F.array(*_KEYS)).alias("key"))
+    keys = distinct.where("key0 is not null").select("h1", "h2", F.explode(F.array(*_KEYS)).alias("key"))
     shared = keys.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low <> high").select("key")
     able = keys.join(shared, "key").select(*_KEY).distinct().join(distinct, _KEY)
     line_no = F.pmod("first", F.lit(1 << 31).cast("decimal(10,0)"))
@@ -117,10 +118,10 @@ def _near(docs: DataFrame, able: DataFrame) -> DataFrame:
     return near
 
 
-def removed(docs: DataFrame, shortest: int = SHORTEST) -> DataFrame:
+def removed(docs: DataFrame, shortest: int = SHORTEST, least: int | None = None) -> DataFrame:
     """``doc_id, line_no`` of every line to drop."""
     docs = docs.select("doc_id", "text")
-    read = stash(_read(_lines(docs), shortest))
+    read = stash(_read(_lines(docs), shortest, shortest if least is None else min(least, shortest)))
     distinct = stash(read.groupBy(*_KEY).agg(F.min(_place()).alias("first"), *[F.max(k).alias(k) for k in _KEYS], F.count("*").alias("times")))
     able = _able(distinct)
     # only lines that lose an occurrence go on
@@ -134,9 +135,9 @@ def removed(docs: DataFrame, shortest: int = SHORTEST) -> DataFrame:
     return out
 
 
-def drop_lines(docs: DataFrame, shortest: int = SHORTEST) -> DataFrame:
+def drop_lines(docs: DataFrame, shortest: int = SHORTEST, least: int | None = None) -> DataFrame:
     """The documents, all columns, with the repeated lines cut from ``text``, and the count ``lines_removed``."""
-    lines = removed(docs, shortest)
+    lines = removed(docs, shortest, least)
     gone = stash(lines.groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("gone_lines")))
     unstash(lines)
     touched = F.col("doc_id").isNotNull() & maybe_in(gone, "doc_id")(F.col("doc_id"))

@@ -151,6 +151,16 @@ def test_line_dedup_on_random_edits(spark):
     assert bag((x.doc_id, x.text) for x in got) == bag(brute_lines(rows))
 
 
+def test_line_dedup_of_short_equal_lines(spark, tmp_path):
+    from spanloom.llm import queries
+
+    rows = [(1, "All rights reserved.\nhome\n\nfive words stand in here"), (2, "all  rights reserved.\nall rights reserved\n\nhome"), (3, "HOME\nfive words stand out here\nhome page")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {1: rows[0][1], 2: "all rights reserved\n", 3: "home page"}
+    got = {r.doc_id: r.text_sha256 for r in queries.op3_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in want.items()}
+
+
 def test_merkle(docs, nothing):
     got = merkle.compared(docs).collect()
     order = sorted(((i, t or "") for i, t in ROWS), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
