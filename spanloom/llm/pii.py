@@ -1,7 +1,7 @@
 """Personal data by base patterns and a semi-Markov conditional random field.
 
 Base spans come from the four fixed patterns. The field then reads every stretch of chunks that hold
-digits or an at sign: candidate segments of up to ``LONGEST`` chunks are scored as wholes (shape, group lengths,
+digits or an at sign, whole however long: candidate segments of up to ``LONGEST`` chunks are scored as wholes (shape, group lengths,
 digit count, checks, the word before), and a dynamic program over segments, bounded by that length, chooses
 boundaries and kinds jointly. Its segments of a kind are added where their posterior is at least ``SURE`` and
 no base span overlaps them; base spans always stay.
@@ -150,7 +150,7 @@ class Field:
         self.next = np.zeros((OTHER + 2, OTHER + 1))
 
     def lattice(self, text: str, chunks, before: str):
-        cells = {}
+        """((end, size), features) of each candidate segment, made as they are asked for."""
         for end in range(1, len(chunks) + 1):
             for size in range(1, min(LONGEST, end) + 1):
                 a, b = chunks[end - size][0], chunks[end - 1][1]
@@ -160,12 +160,11 @@ class Field:
                     continue
                 else:
                     f = [zlib.crc32(b"long") % BUCKETS]
-                cells[end, size] = f
-        return cells
+                yield (end, size), f
 
     def scores(self, cells):
         out = {}
-        for (end, size), f in cells.items():
+        for (end, size), f in cells:
             s = self.w[:, f].sum(1)
             if size > 1:
                 s[OTHER] = -1e9
@@ -197,6 +196,11 @@ class Field:
             follow += np.exp(fwd[start][:, None] + self.next + after[None, :] - total)
         return {(end, size): np.exp(into[end - size] + s + bwd[end, : OTHER + 1] - total) for (end, size), s in scores.items()}, follow
 
+    def sure(self, scores, n: int):
+        """The probability of a segment of a kind, over the whole stretch."""
+        _, into, bwd, total = self.sums(scores, n)
+        return lambda end, size, kind: float(np.exp(into[end - size, kind] + scores[end, size][kind] + bwd[end, kind] - total))
+
     def best(self, scores, n: int):
         """The best segmentation: (end, size, kind) from left to right."""
         top, back = np.full((n + 1, OTHER + 2), -1e18), {}
@@ -220,7 +224,7 @@ class Field:
 
     def learn(self, rows, epochs: int = EPOCHS, rate: float = 0.2, decay: float = 1e-4):
         """Stochastic gradient on the conditional log likelihood of the given segmentations."""
-        ready = [(self.lattice(t, c, b), gold, len(c)) for t, c, b, gold in rows]
+        ready = [(dict(self.lattice(t, c, b)), gold, len(c)) for t, c, b, gold in rows]
         order = np.random.RandomState(0)
         for epoch in range(epochs):
             step = rate / (1 + epoch)
@@ -228,7 +232,7 @@ class Field:
                 cells, gold, n = ready[r]
                 if any((end, size) not in cells for end, size, _ in gold):
                     continue
-                post, follow = self.posteriors(self.scores(cells), n)
+                post, follow = self.posteriors(self.scores(cells.items()), n)
                 for (end, size), p in post.items():
                     np.add.at(self.w, (slice(None), cells[end, size]), -step * p[:, None])
                 self.next -= 0.1 * step * follow
@@ -309,21 +313,19 @@ def all_spans(text: str, field: Field, base=None, memo: dict | None = None) -> l
     if not ("@" in text or _DIGIT.search(text)):
         return out
     for chunks, before in stretches(text):
-        for k in range(0, len(chunks), 64):  # a very long stretch in pieces of 64 chunks
-            some = chunks[k : k + 64]
-            a, z = some[0][0], some[-1][1]
-            key = (text[a:z], before[0] if not k else "")
-            found = memo.get(key) if memo is not None else None
-            if found is None:
-                moved = [(s - a, e - a) for s, e in some]
-                scores = field.scores(field.lattice(key[0], moved, key[1]))
-                post, _ = field.posteriors(scores, len(some))
-                found = [(kind, moved[end - size][0], moved[end - 1][1]) for end, size, kind in field.best(scores, len(some)) if kind != OTHER and post[end, size][kind] >= SURE]
-                if memo is not None and len(key[0]) <= 256:
-                    if len(memo) > 100_000:
-                        memo.clear()
-                    memo[key] = found
-            out += [(kind, s + a, e + a) for kind, s, e in found if not any(s + a < y and x < e + a for _, x, y in base)]
+        a, z = chunks[0][0], chunks[-1][1]
+        key = (text[a:z], before[0])
+        found = memo.get(key) if memo is not None else None
+        if found is None:
+            moved, n = [(s - a, e - a) for s, e in chunks], len(chunks)
+            scores = field.scores(field.lattice(key[0], moved, key[1]))
+            sure = field.sure(scores, n)
+            found = [(kind, moved[end - size][0], moved[end - 1][1]) for end, size, kind in field.best(scores, n) if kind != OTHER and sure(end, size, kind) >= SURE]
+            if memo is not None and len(key[0]) <= 256:
+                if len(memo) > 100_000:
+                    memo.clear()
+                memo[key] = found
+        out += [(kind, s + a, e + a) for kind, s, e in found if not any(s + a < y and x < e + a for _, x, y in base)]
     return sorted(out)
 
 

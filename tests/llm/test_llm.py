@@ -379,6 +379,14 @@ def test_pii(spark, docs, nothing):
     assert len(pii.find(docs).collect()) == len(ROWS) and pii.find(nothing).collect() == []
 
 
+def test_pii_in_long_stretches(spark):
+    rows = [(i, f"{say(i, 6)} +1 ({200 + i}) 555-0{100 + i} and u{i}@mail{i}.example.com {say(i, 3)} {i}.7.8.9 x") for i in range(60)]
+    field = pii.train(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    for lead in (61, 62, 63, 64, 127):  # the phone lies over, before and after what would be a border of 64 chunks
+        text = "x " + "u1@mail1.example.com " * lead + "(301) 555-0346"
+        assert pii.all_spans(text, field)[-1] == (3, len(text) - 14, len(text)), lead
+
+
 def labelled(spark):
     rows, labels = [], []
     for i in range(400):
