@@ -2,7 +2,7 @@
 
 Documents are dealt by ranges of ``doc_id`` and sorted; each task cuts its ids into shards. A shard is
 compressed by Re-Pair in rounds: the most frequent pairs of neighbouring symbols, counted over the whole
-shard, become nonterminals, and all their occurrences are replaced from left to right. The blob stores
+shard, become nonterminals, and their occurrences are replaced, until no pair occurs twice. The blob stores
 rules, expansion lengths and, every ``STEP`` symbols, the offset they expand to, so any range of ids can be decoded
 without reading what comes before it. Blobs are rows of a Parquet table in the shared folder.
 
@@ -10,12 +10,16 @@ Blob: magic ``RPI1``; six little-endian u32: documents, ids, first nonterminal,
 i64 doc ids, u8 null flags of them, u32 id counts; u32 rules (left, right); u32 expansion lengths of the rules;
 u32 offsets; u16 symbols (u32 if a symbol is over 65,535, told by the magic ``RPI4``).
 
+Ids are those of the tokenizers library with its defaults and without added special tokens: the string of a special
+token in a text is that token's id.
+
 Defined results: null or empty text is its end id alone; rows with a null ``doc_id`` come first; equal ids
 are ordered by text; other input columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -29,92 +33,118 @@ from pyspark.sql import functions as F
 from spanloom.llm.common import Recent, docs_of, stash
 
 END = 2
-SHARD, ROUNDS, RULES, LEAST, STEP = 1 << 20, 4, 1024, 24, 1024
-_BITS = 18
+#: Pairs that occur this often in a shard are replaced: Re-Pair's own bound, no pair is left twice.
+LEAST = 2
+#: A round replaces pairs up to this many times rarer than the top one.
+SPREAD = 8
+SHARD, STEP = 1 << 20, 1024
 _CHUNKS = 1_000_000
 
 
-def _slot(codes: np.ndarray) -> np.ndarray:
-    """A slot of a table of 1 << _BITS for each pair; narrow pairs are u32, others u64."""
-    if codes.dtype == np.uint32:
-        return (codes * np.uint32(2654435761)) >> np.uint32(32 - _BITS)
-    return (codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BITS)
-
-
-def compress(ids: np.ndarray, rounds: int = ROUNDS, rules: int = RULES, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, int]:
-    """Symbols, rules as rows (left, right), and the first nonterminal."""
+def _repeated(symbols: np.ndarray, least: int):
+    """Places of the pairs that occur ``least`` times, pair by pair, the first place of each, and how often each occurs."""
+    n = len(symbols) - 1
+    bits = int(n).bit_length()
+    if 2 * int(symbols.max()).bit_length() + bits <= 64:  # pair and place in one number, sorted at once
+        half = np.uint64((64 - bits) // 2)
+        row = (symbols[:-1].astype(np.uint64) << half) | symbols[1:]
+        row = np.sort((row << np.uint64(bits)) | np.arange(n, dtype=np.uint64))
+        place, row = (row & np.uint64((1 << bits) - 1)).astype(np.int64), row >> np.uint64(bits)
+    else:
+        row = (symbols[:-1].astype(np.uint64) << np.uint64(32)) | symbols[1:]
+        place = np.argsort(row, kind="stable")
+        row = row[place]
+    starts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+    counts = np.diff(starts, append=n)
+    often = counts >= least
+    return place[np.repeat(often, counts)], place[starts[often]], counts[often]
+
+
+def _apart(spots: np.ndarray) -> np.ndarray:
+    """Of a run of neighbouring places every other one, from its start: their pairs overlap."""
+    if len(spots) > 1:
+        new = np.concatenate([[True], spots[1:] != spots[:-1] + 1])
+        if not new.all():
+            start = spots[new][np.cumsum(new) - 1]
+            spots = spots[(spots - start) % 2 == 0]
+    return spots
+
+
+def compress(ids: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, int]:
+    """Symbols, rules as rows (left, right), and the first nonterminal.
+
+    A round counts all neighbouring pairs of the shard exactly and replaces the most frequent ones: those that occur
+    at least ``SPREAD`` times as rarely as the top pair at most; where two of them overlap, the more frequent one has the
+    place, and a pair that is left with fewer than ``least`` places waits. Rounds go on until no pair occurs ``least`` times.
+    """
     base = int(ids.max()) + 1 if len(ids) else 0
-    wide = base + rounds * rules > 1 << 16
-    kind, shift = (np.uint64, np.uint64(32)) if wide else (np.uint32, np.uint32(16))
-    symbols, table = ids.astype(kind), []
-    for _ in range(rounds):
-        if len(symbols) < 2:
-            break
-        codes = (symbols[:-1] << shift) | symbols[1:]
-        row = np.sort(codes)
-        ends = np.flatnonzero(row[1:] != row[:-1])
-        starts = np.concatenate([[0], ends + 1])
-        counts = np.diff(starts, append=len(row))
-        often = np.flatnonzero(counts >= least)
-        if not len(often):
+    symbols, table, rules = ids.astype(np.uint32), [], 0
+    while len(symbols) > 1:
+        place, first, counts = _repeated(symbols, least)
+        which = np.full(len(symbols), -1, np.int32)
+        which[place] = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+        worth = counts
+        twins = symbols[first] == symbols[first + 1]
+        if twins.any():  # a pair of equal symbols overlaps itself in a run of them: only every other place counts
+            own = _apart(np.sort(place[np.repeat(twins, counts)]))
+            worth = np.where(twins, np.bincount(which[own], minlength=len(counts)), counts)
+        chosen = worth >= max(least, int(worth.max(initial=0)) // SPREAD)
+        if not chosen.any():
             break
-        chosen = row[starts[often[np.argsort(-counts[often], kind="stable")[:rules]]]]
-        _, at = np.unique(_slot(chosen), return_index=True)  # one pair a slot; another of that slot waits for the next round
-        chosen = chosen[np.sort(at)]
-        place = np.full(1 << _BITS, -1, np.int16)
-        place[_slot(chosen)] = np.arange(len(chosen), dtype=np.int16)
-        which = place[_slot(codes)]
-        spots = np.flatnonzero(which >= 0)
-        spots = spots[chosen[which[spots]] == codes[spots]]
-        if len(spots) > 1:  # of a run of overlapping hits, take every other one from its start
-            new = np.empty(len(spots), bool)
-            new[0] = True
-            np.not_equal(spots[1:], spots[:-1] + 1, out=new[1:])
-            if not new.all():
-                start = spots[new][np.cumsum(new) - 1]
-                spots = spots[(spots - start) % 2 == 0]
-        symbols[spots] = (which[spots].astype(np.int64) + (base + len(table))).astype(kind)
+        place = place[np.repeat(chosen, counts)]
+        weight = np.zeros(len(symbols) + 1, np.int32)
+        weight[place + 1] = worth[which[place]]
+        here = weight[place + 1]
+        beaten = (weight[place] > here) | (weight[np.minimum(place + 2, len(symbols))] > here)
+        spots = _apart(np.sort(place[~beaten]))
+        fit = np.bincount(which[spots], minlength=len(counts)) >= least
+        if not fit.any():  # all of them stand in each other's way: the top pair goes alone
+            one = int(np.argmax(worth))
+            spots, fit = _apart(np.flatnonzero(which == one)), np.arange(len(counts)) == one
+        spots = spots[fit[which[spots]]]
+        table.append(np.column_stack([symbols[first[fit]], symbols[first[fit] + 1]]))
+        symbols[spots] = (np.cumsum(fit) - 1 + base + rules)[which[spots]]
+        rules += int(fit.sum())
         stay = np.ones(len(symbols), bool)
         stay[spots + 1] = False
         symbols = symbols[stay]
-        table += [(c >> int(shift), c & ((1 << int(shift)) - 1)) for c in chosen.tolist()]
-    return symbols.astype(np.uint32), np.array(table, np.uint32).reshape(-1, 2), base
-
-
-def _flat(table: np.ndarray, base: int):
-    """Each symbol's full expansion: lengths, offsets, and all of them in a row."""
-    full: list[list[int]] = []
-    for a, b in table.tolist():
-        full.append((full[a - base] if a >= base else [a]) + (full[b - base] if b >= base else [b]))
-    sizes = np.array([len(x) for x in full], np.int64)
-    return sizes, np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64) if len(full) else sizes, np.array([i for x in full for i in x], np.uint32)
+    return symbols, np.concatenate(table) if table else np.empty((0, 2), np.uint32), base
+
+
+def lengths(table: np.ndarray, base: int) -> np.ndarray:
+    """How many ids each rule expands to: a rule's parts come before it, so a pass a level settles all."""
+    out = np.zeros(len(table), np.int64)
+    left, right = table[:, 0].astype(np.int64) - base, table[:, 1].astype(np.int64) - base
+    todo = np.arange(len(table))
+    while len(todo):
+        a = np.where(left[todo] < 0, 1, out[np.maximum(left[todo], 0)])
+        b = np.where(right[todo] < 0, 1, out[np.maximum(right[todo], 0)])
+        done = (a > 0) & (b > 0)
+        out[todo[done]] = (a + b)[done]
+        todo = todo[~done]
+    return out
 
 
-def expand(symbols: np.ndarray, table: np.ndarray, base: int) -> np.ndarray:
-    sizes, starts, flat = _flat(table, base)
+def expand(symbols: np.ndarray, table: np.ndarray, base: int, sizes: np.ndarray) -> np.ndarray:
+    """The ids of symbols. Every pass writes the ids that are reached and opens the rules one level."""
+    size = np.ones(len(symbols), np.int64)
     grown = symbols >= base
-    if not grown.any():
-        return symbols.astype(np.uint32)
-    size = np.ones(len(symbols), np.int32)
-    rule = (symbols[grown] - np.uint32(base)).astype(np.int32)
-    n = sizes[rule].astype(np.int32)
-    size[grown] = n
-    ends = np.cumsum(size, dtype=np.int64)
-    first = ends - size
-    out = np.empty(int(ends[-1]), np.uint32)
-    out[first[~grown]] = symbols[~grown]
-    at, source = first[grown], starts[rule]
-    for k in range(int(n.max())):  # the k-th id of every expansion that is so long
-        if k > 1:
-            long = n > k
-            n, at, source = n[long], at[long], source[long]
-        out[at + k] = flat[source + k]
+    size[grown] = sizes[symbols[grown].astype(np.int64) - base]
+    at = np.cumsum(size) - size
+    out, symbols = np.empty(int(size.sum()), np.uint32), symbols.astype(np.int64)
+    while len(symbols):
+        plain = symbols < base
+        out[at[plain]] = symbols[plain]
+        at, rule = at[~plain], symbols[~plain] - base
+        left, right = table[rule, 0].astype(np.int64), table[rule, 1].astype(np.int64)
+        step = np.where(left < base, 1, sizes[np.maximum(left - base, 0)])
+        symbols, at = np.concatenate([left, right]), np.concatenate([at, at + step])
     return out
 
 
 def write_shard(doc_ids: list, counts: list[int], ids: np.ndarray) -> bytes:
     symbols, table, base = compress(ids)
-    sizes, _, _ = _flat(table, base)
+    sizes = lengths(table, base)
     size = np.ones(len(symbols), np.int64)
     grown = symbols >= base
     size[grown] = sizes[symbols[grown].astype(np.int64) - base]
@@ -157,13 +187,13 @@ class Shard:
         self.symbols = take("<u4" if blob[:4] == b"RPI4" else "<u2", n)
 
     def ids(self) -> np.ndarray:
-        return expand(self.symbols, self.table, self.base)
+        return expand(self.symbols, self.table, self.base, self.sizes)
 
     def range(self, start: int, stop: int) -> np.ndarray:
         """Ids start to stop, expanding only the blocks that hold them."""
         a = max(0, int(np.searchsorted(self.offsets, start, "right")) - 1)
         b = int(np.searchsorted(self.offsets, stop, "left"))
-        got = expand(self.symbols[a * self.step : b * self.step], self.table, self.base)
+        got = expand(self.symbols[a * self.step : b * self.step], self.table, self.base, self.sizes)
         skip = start - int(self.offsets[a]) if len(self.offsets) else 0
         return got[skip : skip + stop - start]
 
@@ -171,19 +201,29 @@ class Shard:
 _MARK = "\x01"
 #: Between an ASCII letter or digit and a following ASCII mark (not an apostrophe) the tokenizer always splits.
 _SEAM = re.compile(r"(?<=[a-z0-9])(?=[!-&(-/:-@\[-`{-~])")
+#: What a tokenizer file must say for its chunks between blanks to be independent. Fixed values.
+_NORMAL = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
 
 class Chunks:
-    """Ids, as bytes, of the chunks between blanks: no rule of the tokenizer reaches over a blank.
+    """Ids, as bytes, of whole texts.
 
-    Chunks not met lately are encoded together, set apart by a mark; a chunk that holds the mark goes alone.
+    Where the tokenizer's file folds blanks and case and splits at blanks, no rule reaches over a blank: a text goes in
+    chunks, each encoded once and remembered; chunks not met lately are encoded together, set apart by a mark, and
+    a chunk that holds the mark goes alone. Texts that hold a special token's string, and all texts of other
+    tokenizers, are encoded whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        with open(path, encoding="utf-8") as f:
+            said = json.load(f)
+        steps = (said.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        self.apart = said.get("normalizer") == _NORMAL and steps[0].get("pattern") == {"Regex": _SPLIT} and steps[0].get("behavior") == "Removed"
+        self.special = [x["content"] for x in said.get("added_tokens") or []]
         self.mark = self._alone(_MARK)
         self.memo = Recent(self._alone, _CHUNKS)
 
@@ -204,11 +244,12 @@ class Chunks:
                 self.memo.put(x, ids[a:b].tobytes())
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        end, get = struct.pack("<I", END), self.memo.__getitem__
+        whole = [not self.apart or any(s in x for s in self.special) for x in texts]
         # lower-casing A-Z and blanks at seams change no id, but let more chunks be met again
-        split = [_SEAM.sub(" ", x.encode().lower().decode().replace("\n", " ")).split(" ") for x in texts]
+        split = [[] if w else _SEAM.sub(" ", x.encode().lower().decode().replace("\n", " ")).split(" ") for w, x in zip(whole, texts, strict=True)]
         self.learn(set().union(*split))
-        get, end = self.memo.__getitem__, struct.pack("<I", END)
-        return [b"".join(map(get, x)) + end for x in split]
+        return [(self._alone(x) if w else b"".join(map(get, s))) + end for w, x, s in zip(whole, texts, split, strict=True)]
 
 
 _held: dict[str, Chunks] = {}

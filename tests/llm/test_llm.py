@@ -247,11 +247,14 @@ def test_exchange_finds_classes():
     assert len(set(of[::2])) == 1 and len(set(of[1::2])) == 1 and of[0] != of[1]
 
 
-def test_repair_round_trip(docs, nothing):
+SPECIAL = [(60, "see <|endoftext|> here"), (61, "inside<|startoftext|>words <|EndOfText|> <| endoftext |>"), (62, "<|endoftext|><|endoftext|>")]
+
+
+def test_repair_round_trip(spark, docs, nothing):
     tok = Tokenizer.from_file(WORDS)
-    tok.encode_special_tokens = True
+    docs = docs.unionByName(spark.createDataFrame(SPECIAL, "doc_id bigint, text string"), allowMissingColumns=True)
     at, want = 0, []
-    for i, t in sorted(((i, t or "") for i, t in ROWS), key=lambda x: (x[0] is not None, x[0] or 0, x[1])):
+    for i, t in sorted(((i, t or "") for i, t in ROWS + SPECIAL), key=lambda x: (x[0] is not None, x[0] or 0, x[1])):
         ids = [*tok.encode(t, add_special_tokens=False).ids, 2]
         want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
@@ -260,11 +263,22 @@ def test_repair_round_trip(docs, nothing):
     assert repair_ids.written(nothing, WORDS).collect() == []
 
 
+def repeats(symbols):
+    """The most places that any pair has without overlapping itself."""
+    n, last = collections.Counter(), {}
+    for k, pair in enumerate(zip(symbols, symbols[1:], strict=False)):
+        if last.get(pair, -2) < k - 1:
+            n[pair] += 1
+            last[pair] = k
+    return max(n.values(), default=0)
+
+
 @pytest.mark.parametrize("top", [50, 70_000])
 def test_repair_grammar(top):
     r = np.random.RandomState(1)
     ids = np.concatenate([r.randint(0, top, 500), np.tile([7, 7, 7, 9], 900), r.randint(0, 6, 4000)]).astype(np.uint32)
     shard = repair_ids.Shard(repair_ids.write_shard([5, None], [100, len(ids) - 100], ids))
+    assert repeats(shard.symbols.tolist()) < 2
     assert (shard.ids() == ids).all() and len(shard.table) and len(shard.symbols) < len(ids) and shard.doc_ids == [5, None]
     for _ in range(50):
         a = r.randint(len(ids))
@@ -273,13 +287,30 @@ def test_repair_grammar(top):
     assert len(repair_ids.Shard(repair_ids.write_shard([], [], ids[:0])).ids()) == 0
 
 
-def test_words_tokenizer_by_chunks():
+def test_repair_leaves_no_pair_twice():
+    r = np.random.RandomState(2)
+    cases = [np.full(65_536, 3), np.tile(r.randint(0, 50, 10), 5), np.array([1, 1, 1]), np.array([1, 1, 1, 2, 1, 1, 1]), np.array([4]), *(r.randint(0, k, r.randint(2, 400)) for k in (2, 3, 9, 40) for _ in range(40))]
+    for ids in cases:
+        ids = ids.astype(np.uint32)
+        symbols, table, base = repair_ids.compress(ids)
+        assert repeats(symbols.tolist()) < 2
+        sizes = repair_ids.lengths(table, base)
+        assert (repair_ids.expand(symbols, table, base, sizes) == ids).all()
+    assert len(repair_ids.compress(cases[0].astype(np.uint32))[0]) <= 2
+
+
+def test_words_tokenizer_by_chunks(tmp_path):
     tok = Tokenizer.from_file(WORDS)
-    tok.encode_special_tokens = True
     r, odd = random.Random(7), ["Σας ΣΑΣ", "é ́x", "<|endoftext|>", "\x01", "İI", "'S don't'll", "a b", "9,9.9", "A.B!?c", " ", "ﬁ", "x_y-z", " ", "\n", "\t"]
     texts = ["".join(r.choice(odd) for _ in range(r.randint(0, 12))) for _ in range(300)]
     for text, got in zip(texts, repair_ids.encode_texts(texts, WORDS), strict=True):
         assert np.frombuffer(got, "<u4").tolist() == [*tok.encode(text, add_special_tokens=False).ids, 2], text
+    said = json.load(open(WORDS))
+    said["normalizer"] = None  # one that keeps case is read whole
+    (tmp_path / "cased.json").write_text(json.dumps(said))
+    cased = Tokenizer.from_file(f"{tmp_path}/cased.json")
+    for text, got in zip(texts[:50], repair_ids.encode_texts(texts[:50], f"{tmp_path}/cased.json"), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == [*cased.encode(text, add_special_tokens=False).ids, 2], text
 
 
 def reference_bpe():
