@@ -22,6 +22,7 @@ from __future__ import annotations
 import json
 import re
 import struct
+import unicodedata
 import zlib
 from itertools import accumulate
 
@@ -36,28 +37,33 @@ END = 2
 #: Pairs that occur this often in a shard are replaced: Re-Pair's own bound, no pair is left twice.
 LEAST = 2
 #: A round replaces pairs up to this many times rarer than the top one.
-SPREAD = 8
+SPREAD = 256
 SHARD, STEP = 1 << 20, 1024
 _CHUNKS = 1_000_000
 
 
-def _repeated(symbols: np.ndarray, least: int):
-    """Places of the pairs that occur ``least`` times, pair by pair, the first place of each, and how often each occurs."""
-    n = len(symbols) - 1
-    bits = int(n).bit_length()
-    if 2 * int(symbols.max()).bit_length() + bits <= 64:  # pair and place in one number, sorted at once
-        half = np.uint64((64 - bits) // 2)
-        row = (symbols[:-1].astype(np.uint64) << half) | symbols[1:]
-        row = np.sort((row << np.uint64(bits)) | np.arange(n, dtype=np.uint64))
-        place, row = (row & np.uint64((1 << bits) - 1)).astype(np.int64), row >> np.uint64(bits)
+def _repeated(left: np.ndarray, right: np.ndarray, least: int):
+    """Of the pairs (left, right) those that occur ``least`` times: their numbers, pair by pair, and how often each pair occurs."""
+    n = len(left)
+    bits = max(n - 1, 1).bit_length()
+    half = (64 - bits) // 2
+    if n and max(int(left.max()), int(right.max())) >> half == 0:  # pair and number in one, sorted at once
+        row = left.astype(np.uint64)
+        row <<= np.uint64(half)
+        row |= right
+        row <<= np.uint64(bits)
+        row |= np.arange(n, dtype=np.uint64)
+        row.sort()
+        place = (row & np.uint64((1 << bits) - 1)).astype(np.int32)
+        row >>= np.uint64(bits)
     else:
-        row = (symbols[:-1].astype(np.uint64) << np.uint64(32)) | symbols[1:]
-        place = np.argsort(row, kind="stable")
+        row = (left.astype(np.uint64) << np.uint64(32)) | right
+        place = np.argsort(row, kind="stable").astype(np.int32)
         row = row[place]
-    starts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+    starts = np.flatnonzero(np.concatenate([np.ones(min(n, 1), bool), row[1:] != row[:-1]]))
     counts = np.diff(starts, append=n)
     often = counts >= least
-    return place[np.repeat(often, counts)], place[starts[often]], counts[often]
+    return place[np.repeat(often, counts)], counts[often]
 
 
 def _apart(spots: np.ndarray) -> np.ndarray:
@@ -65,7 +71,7 @@ def _apart(spots: np.ndarray) -> np.ndarray:
     if len(spots) > 1:
         new = np.concatenate([[True], spots[1:] != spots[:-1] + 1])
         if not new.all():
-            start = spots[new][np.cumsum(new) - 1]
+            start = np.maximum.accumulate(np.where(new, spots, 0))
             spots = spots[(spots - start) % 2 == 0]
     return spots
 
@@ -73,42 +79,48 @@ def _apart(spots: np.ndarray) -> np.ndarray:
 def compress(ids: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, int]:
     """Symbols, rules as rows (left, right), and the first nonterminal.
 
-    A round counts all neighbouring pairs of the shard exactly and replaces the most frequent ones: those that occur
-    at least ``SPREAD`` times as rarely as the top pair at most; where two of them overlap, the more frequent one has the
-    place, and a pair that is left with fewer than ``least`` places waits. Rounds go on until no pair occurs ``least`` times.
+    A round counts neighbouring pairs exactly and replaces the most frequent ones, down to ``SPREAD`` times fewer
+    occurrences than the top pair's; where two of them overlap, the more frequent one has the place, and a pair
+    that is left with fewer than ``least`` places waits. Rounds go on until no pair occurs ``least`` times. After the
+    first round only pairs that occurred often enough so far and pairs with a new symbol are counted: no other
+    can reach the bound.
     """
     base = int(ids.max()) + 1 if len(ids) else 0
-    symbols, table, rules = ids.astype(np.uint32), [], 0
-    while len(symbols) > 1:
-        place, first, counts = _repeated(symbols, least)
-        which = np.full(len(symbols), -1, np.int32)
-        which[place] = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
-        worth = counts
-        twins = symbols[first] == symbols[first + 1]
+    symbols, table, rules, at = ids.astype(np.uint32), [], 0, None
+    while True:
+        place, counts = _repeated(symbols[:-1], symbols[1:], least) if at is None else _repeated(symbols[at], symbols[at + 1], least)
+        place = place if at is None else at[place]
+        first = place[np.cumsum(counts) - counts]
+        owner = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+        which = np.empty(len(symbols), np.int32)
+        which[place] = owner
+        left, right, worth = symbols[first], symbols[first + 1], counts
+        twins = left == right
         if twins.any():  # a pair of equal symbols overlaps itself in a run of them: only every other place counts
-            own = _apart(np.sort(place[np.repeat(twins, counts)]))
+            own = _apart(np.sort(place[twins[owner]]))
             worth = np.where(twins, np.bincount(which[own], minlength=len(counts)), counts)
         chosen = worth >= max(least, int(worth.max(initial=0)) // SPREAD)
         if not chosen.any():
-            break
-        place = place[np.repeat(chosen, counts)]
-        weight = np.zeros(len(symbols) + 1, np.int32)
-        weight[place + 1] = worth[which[place]]
-        here = weight[place + 1]
-        beaten = (weight[place] > here) | (weight[np.minimum(place + 2, len(symbols))] > here)
-        spots = _apart(np.sort(place[~beaten]))
+            return symbols, np.concatenate(table) if table else np.empty((0, 2), np.uint32), base
+        weight = np.zeros(len(symbols) + 2, np.int32)
+        weight[place + 1] = np.where(chosen, worth, 0).astype(np.int32)[owner]
+        here = weight[1:-1]
+        spots = _apart(np.flatnonzero((here > 0) & (weight[:-2] <= here) & (weight[2:] <= here)))
         fit = np.bincount(which[spots], minlength=len(counts)) >= least
         if not fit.any():  # all of them stand in each other's way: the top pair goes alone
             one = int(np.argmax(worth))
-            spots, fit = _apart(np.flatnonzero(which == one)), np.arange(len(counts)) == one
+            spots, fit = _apart(np.sort(place[owner == one])), np.arange(len(counts)) == one
         spots = spots[fit[which[spots]]]
-        table.append(np.column_stack([symbols[first[fit]], symbols[first[fit] + 1]]))
-        symbols[spots] = (np.cumsum(fit) - 1 + base + rules)[which[spots]]
+        table.append(np.column_stack([left[fit], right[fit]]))
+        symbols[spots] = (np.cumsum(fit) - 1 + base + rules).astype(np.uint32)[which[spots]]
         rules += int(fit.sum())
-        stay = np.ones(len(symbols), bool)
+        stay, again = np.ones(len(symbols), bool), np.zeros(len(symbols), bool)
         stay[spots + 1] = False
-        symbols = symbols[stay]
-    return symbols, np.concatenate(table) if table else np.empty((0, 2), np.uint32), base
+        again[place] = again[spots] = again[np.maximum(spots, 1) - 1] = True
+        again[np.maximum(spots, 2) - 2] |= ~stay[np.maximum(spots, 2) - 1]  # the one before is a new symbol too
+        again = again[stay]
+        again[-1] = False
+        symbols, at = symbols[stay], np.flatnonzero(again)
 
 
 def lengths(table: np.ndarray, base: int) -> np.ndarray:
@@ -216,7 +228,7 @@ class Chunks:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
@@ -225,23 +237,42 @@ class Chunks:
         self.apart = said.get("normalizer") == _NORMAL and steps[0].get("pattern") == {"Regex": _SPLIT} and steps[0].get("behavior") == "Removed"
         self.special = [x["content"] for x in said.get("added_tokens") or []]
         self.mark = self._alone(_MARK)
+        self.words, mark = None, (said.get("model") or {}).get("end_of_word_suffix")
+        if self.apart and mark:
+            self.words = Tokenizer.from_file(path)
+            self.words.normalizer = normalizers.Sequence([])
+            self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            vocab = self.words.get_vocab()
+            self.ends = np.zeros(max(vocab.values()) + 1, bool)
+            self.ends[[i for t, i in vocab.items() if t.endswith(mark)]] = True
         self.memo = Recent(self._alone, _CHUNKS)
 
     def _alone(self, chunk: str) -> bytes:
         return np.array(self.tok.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
 
     def learn(self, chunks: set[str]) -> None:
-        new, old = [], self.memo.old
-        for x in chunks - self.memo.keys():
+        """Words of plain Latin letters in lower case need neither the file's folding nor its splitting, only blanks between them."""
+        memo, old, plain, others = self.memo, self.memo.old, [], []
+        for x in chunks - memo.keys():
             if x in old:
-                self.memo.put(x, old[x])
-            elif x and _MARK not in x and len(x) <= self.memo.longest:
-                new.append(x)
-        if len(self.mark) == 4 and new:
-            ids = np.array(self.tok.encode_batch_fast([f" {_MARK} ".join(new)], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(ids == np.frombuffer(self.mark, "<u4")[0]).tolist()
-            for x, a, b in zip(new, [0, *(c + 1 for c in cuts)], [*cuts, len(ids)], strict=True):
-                self.memo.put(x, ids[a:b].tobytes())
+                memo.put(x, old[x])
+            elif len(x) <= memo.longest:
+                if x.isalpha() and max(x) < "\u0180" and x == x.lower() and unicodedata.is_normalized("NFC", x):
+                    plain.append(x)
+                elif x and _MARK not in x:
+                    others.append(x)
+        if plain and self.words is not None:
+            ids = np.array(self.words.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, "<u4")
+            self._keep(plain, ids, np.flatnonzero(self.ends[ids]) + 1, 0)
+        if others and len(self.mark) == 4:
+            ids = np.array(self.tok.encode_batch_fast([f" {_MARK} ".join(others)], add_special_tokens=False)[0].ids, "<u4")
+            self._keep(others, ids, np.append(np.flatnonzero(ids == np.frombuffer(self.mark, "<u4")[0]), len(ids)), 1)
+
+    def _keep(self, chunks: list[str], ids: np.ndarray, ends: np.ndarray, between: int) -> None:
+        raw, start = ids.tobytes(), 0
+        for x, end in zip(chunks, (4 * ends).tolist(), strict=True):
+            self.memo.put(x, raw[start:end])
+            start = end + 4 * between
 
     def encode(self, texts: list[str]) -> list[bytes]:
         end, get = struct.pack("<I", END), self.memo.__getitem__
