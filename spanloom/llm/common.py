@@ -28,8 +28,10 @@ def work_folder(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         held = spark.sparkContext.getCheckpointDir()
+        if not held and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         root = held.rsplit("/", 1)[0] if held else "file://" + tempfile.mkdtemp(prefix="spanloom-")
-        if not held:
+        if not held:  # a single process, as in tests and bench: its own disk is shared
             spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/spanloom-{uuid.uuid4().hex}"
 
@@ -64,8 +66,30 @@ def fold(doc_id, mod: int):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % mod
 
 
-def hex_id(col):
-    return F.lower(F.lpad(F.hex(col), 16, "0"))
+#: So many ids (bigint) are sent to all tasks at most; a longer list meets the documents in a shuffle.
+SENT = 1_000_000
+
+
+def _sendable(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if ids.limit(SENT + 1).count() <= SENT else ids
+
+
+def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose ``doc_id`` is among ids (distinct, not null)."""
+    return docs.join(_sendable(ids), "doc_id", "left_semi").select(docs.columns)
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose ``doc_id`` is not among ids (not null); a null id stays."""
+    return docs.join(_sendable(ids), "doc_id", "left_anti").select(docs.columns)
+
+
+def fresh(name: str, *taken: str) -> str:
+    """A column name that none of taken equals in any case."""
+    low = {x.lower() for x in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:

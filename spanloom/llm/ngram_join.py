@@ -4,9 +4,18 @@ A document's set holds its distinct ``width``-word shingles (64-bit hashes). Doc
 form one class at once, so exact copies never meet as pairs. Shingles are put in one global order, rare
 first, by a counting sketch of fixed size over all documents; the order only steers cost, any order
 gives the same links. The rarest shingles of each class - enough that two linked classes must share
-one - are joined. Inside a shingle's bucket, in the order of how few rarer shingles its members have, each member meets the first one and the one before it, and is compared with those it meets
-most; then classes of one bucket that are not yet in one component are all compared, so a large group of
-near copies needs about two comparisons a member and no link that could matter is left out. Buckets that the sketch shows to be large are dealt to several tasks first. Every surviving pair is verified once on its whole sets.
+one - are joined with the shingle that comes before each in its class's order.
+
+In a shingle's bucket every two classes that pass the length and the positional filter are a candidate pair, unless
+both have the same shingle before this one: then they met in that one's bucket already, so a run of shared shingles
+gives its pair once. Of buckets with more than ``NEAR`` members, and of those that the sketch shows to be large and
+that are dealt to several tasks, each member only meets the ``NEAR`` before it and the first one; what is in one
+component after that is settled, and classes outside a bucket's largest component are then compared with all others
+of the bucket. That stays small because the order is rare first: a passage that many documents share comes last in
+each, so the positional filter only passes documents that consist of it for the most part, and those link.
+
+Candidates pass the suffix filter - sizes and parities of the parts of both sets that lie in the same parts of the
+hash space bound their distance - and each is verified once on its whole sets.
 
 Defined results: null or empty text has an empty set, ``n_shingles`` 0, and links with nothing; a text
 with fewer than ``width`` words has its whole sequence as one shingle; equal rows link; rows with a
@@ -21,18 +30,22 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import components, docs_of, maybe_in, stash, unstash
+from spanloom.llm.common import components, docs_of, only, stash, unstash, without
 
 WIDTH, PERCENT = 5, 80
 #: Counters of the rare-first sketch (16 MB), whatever the input's size; sent in slices.
-SKETCH, SLICE = 1 << 22, 1 << 17
+SKETCH, SLICE = 1 << 22, 1 << 14
 #: Parts of the hash space whose set sizes bound the distance of two sets (the suffix filter).
 PARTS = 16
 #: Finer parts of which only the parity is kept, as bits: those that differ are a bound too, and cheap to count.
 PARITY = 512
+#: Members of a bucket that each one meets at least; buckets up to this size need nothing more.
+NEAR = 32
+#: A bucket that is longer than this is worked off in pieces.
+_PIECE = 1 << 16
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -123,13 +136,14 @@ def _sketch(first: DataFrame) -> np.ndarray:
 def _prefixes(width: int, percent: int, told):
     def run(batches):
         counts, seen = told.value, set()
+        least = -(-percent // (100 - percent)) if percent < 100 else 1 << 60  # smaller sets only link with equal ones
         light = 1000 + 16 * int(counts.mean())  # a shingle counted oftener is dealt to several tasks
         for batch in batches:
-            gram, salt, cls, size, pos = [], [], [], [], []
+            gram, salt, cls, size, pos, prior = [], [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 found = shingles(text, width)
                 n = len(found)
-                if not n or (key := class_of(found)) in seen:
+                if n < least or (key := class_of(found)) in seen:
                     continue
                 if len(seen) < 200_000:  # a copy in the same task sends nothing; beyond this it is harmless
                     seen.add(key)
@@ -141,8 +155,88 @@ def _prefixes(width: int, percent: int, told):
                 cls.append(np.full(k, key, np.int64))
                 size.append(np.full(k, n, np.int64))
                 pos.append(np.arange(k, dtype=np.int64))
+                prior.append(np.concatenate([[0], rare[:-1].view(np.int64)]))
             if gram:
-                yield pa.record_batch([np.concatenate(x) for x in (gram, salt, cls, size, pos)], names=["gram", "salt", "cls", "n", "pos"])
+                yield pa.record_batch([np.concatenate(x) for x in (gram, salt, cls, size, pos, prior)], names=["gram", "salt", "cls", "n", "pos", "prior"])
+
+    return run
+
+
+def _meet(percent: int):
+    """Rows in the order of gram, salt, pos and cls to candidate pairs ``(a, b)`` and to the rows of large buckets ``(a, gram, n, pos)``."""
+
+    def pairs_of(gram, salt, cls, n, pos, prior):
+        if len(gram) < 2:
+            new = np.ones(len(gram), bool)
+        else:
+            new = np.concatenate([[True], (gram[1:] != gram[:-1]) | (salt[1:] != salt[:-1])])
+        starts = np.flatnonzero(new)
+        sizes = np.diff(starts, append=len(gram))
+        hub = np.repeat(starts, sizes)
+        found = []
+
+        def meet(x, y):
+            left, right = n[x], n[y]
+            least = np.minimum(left - pos[x], right - pos[y])
+            fits = (100 * np.minimum(left, right) >= percent * np.maximum(left, right)) & ((100 + percent) * least >= percent * (left + right))
+            fits &= ((prior[x] != prior[y]) | (pos[x] == 0) | (pos[y] == 0)) & (cls[x] != cls[y])
+            found.append((np.minimum(cls[x], cls[y])[fits], np.maximum(cls[x], cls[y])[fits]))
+
+        rank = np.arange(len(gram)) - hub
+        for back in range(1, NEAR + 1):
+            y = np.flatnonzero(rank >= back)
+            if not len(y):
+                break
+            meet(y - back, y)
+        y = np.flatnonzero(rank > NEAR)
+        meet(hub[y], y)
+        a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        if len(a):
+            once = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+            a, b = a[once], b[once]
+        large = np.repeat(sizes > NEAR + 1, sizes) | (salt > 0)
+        return a, b, large
+
+    def out(rows, whole=False):
+        gram, salt, cls, n, pos, prior = rows
+        a, b, large = pairs_of(*rows)
+        large |= whole
+        none = pa.nulls(len(a), pa.int64())
+        at = np.flatnonzero(large)
+        if len(a):
+            yield pa.record_batch([pa.array(a), pa.array(b), none, none, none], names=["a", "b", "gram", "n", "pos"])
+        if len(at):
+            yield pa.record_batch([pa.array(cls[at]), pa.nulls(len(at), pa.int64()), pa.array(gram[at]), pa.array(n[at]), pa.array(pos[at])], names=["a", "b", "gram", "n", "pos"])
+
+    def run(batches):
+        held, piece = None, False  # the last bucket, which may go on; whether a piece of it is done already
+        for batch in batches:
+            rows = [batch.column(k).to_numpy() for k in range(6)]
+            if not len(rows[0]):
+                continue
+            if held is not None:
+                if piece and (held[0][0] != rows[0][0] or held[1][0] != rows[1][0]):
+                    yield from out(held, True)
+                    held, piece = None, False
+                else:
+                    rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
+            same = (rows[0] == rows[0][-1]) & (rows[1] == rows[1][-1])
+            last = int(np.argmax(same))
+            if last:
+                if piece:  # the end of a bucket that came in pieces, then others
+                    end = int(np.argmax((rows[0] != rows[0][0]) | (rows[1] != rows[1][0])))
+                    yield from out([x[:end] for x in rows], True)
+                    rows, last, piece = [x[end:] for x in rows], last - end, False
+                if last:
+                    yield from out([x[:last] for x in rows])
+            held = [x[last:] for x in rows]
+            if len(held[0]) > _PIECE:
+                yield from out(held, True)
+                held, piece = [x[-1:] for x in held], True
+        if held is not None:
+            yield from out(held, piece)
 
     return run
 
@@ -183,8 +277,7 @@ def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, p
     near = near.where(_parity_fits("parity_a", "parity_b", F.col("n_a"), F.col("n_b"), percent))
     near = stash(near.select("a", "b", "rep_a", "rep_b"))
     wanted = near.select(F.col("rep_a").alias("doc_id")).union(near.select("rep_b")).distinct()
-    some = docs.where(maybe_in(wanted, "doc_id")(F.col("doc_id")))
-    sets = stash(some.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_whole_sets(width), "cls bigint, grams array<bigint>"))
+    sets = stash(only(docs.select("doc_id", "text"), wanted).mapInArrow(_whole_sets(width), "cls bigint, grams array<bigint>"))
     one = sets.dropDuplicates(["cls"])
     a, b = one.select(F.col("cls").alias("a"), F.col("grams").alias("set_a")), one.select(F.col("cls").alias("b"), F.col("grams").alias("set_b"))
     both = near.select("a", "b").join(a, "a").join(b, "b").withColumn("same", F.size(F.array_intersect("set_a", "set_b")))
@@ -201,36 +294,28 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     usable = docs.where("doc_id is not null")
     classes = stash(first.where("slot is null and n > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("parts").alias("parts"), F.max("parity").alias("parity")))
     told = spark.sparkContext.broadcast(_sketch(first))  # SKETCH counters: a fixed size
-    prefixes = usable.mapInArrow(_prefixes(width, percent, told), "gram bigint, salt bigint, cls bigint, n bigint, pos bigint")
-    # one shuffle: in each bucket a member meets the first one and the one before it; lone members go
-    bucket, row = Window.partitionBy("gram", "salt").orderBy("pos", "cls"), F.struct("cls", "n", "pos")
-    met = prefixes.select("*", F.first(row).over(bucket).alias("hub"), F.lag(row).over(bucket).alias("last"), F.lead("cls").over(bucket).alias("later"))
-    alone = (F.col("hub.cls") == F.col("cls")) & (F.coalesce("later", "cls") == F.col("cls"))
-    met = stash(met.where(~alone | (F.col("salt") > 0)).select("gram", "cls", "n", "pos", "hub", "last"))
-
-    # of each kind the partner that a class meets in most buckets; the others are compared below, if that is not enough
-    tries = [met.select(F.struct("cls", "n", "pos").alias("x"), F.col(c).alias("y")).where("x.cls <> y.cls").where(_might_link(percent)).select(F.lit(c).alias("kind"), F.col("x.cls").alias("x"), F.col("y.cls").alias("y")) for c in ("hub", "last")]
-    best = tries[0].union(tries[1]).groupBy("kind", "x", "y").count().groupBy("kind", "x").agg(F.max_by("y", F.struct("count", "y")).alias("y"))
-    pairs = best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    links = _verify(pairs, classes, usable, width, percent)
+    prefixes = usable.mapInArrow(_prefixes(width, percent, told), "gram bigint, salt bigint, cls bigint, n bigint, pos bigint, prior bigint")
+    dealt = prefixes.repartition("gram", "salt").sortWithinPartitions("gram", "salt", "pos", "cls")
+    met = stash(dealt.mapInArrow(_meet(percent), "a bigint, b bigint, gram bigint, n bigint, pos bigint"))
+    links = _verify(met.where("b is not null").select("a", "b").distinct(), classes, usable, width, percent)
     comp = components(links)
-    # what is not in one component yet: members outside a bucket's largest component against all
-    now = met.select("gram", "cls", "n", "pos").join(comp, met.cls == comp.node, "left").select("gram", "cls", "n", "pos", F.coalesce("comp", "cls").alias("comp"))
-    now = stash(now)
+
+    # large buckets: members outside the largest component against all
+    big = met.where("b is null").select("gram", F.col("a").alias("cls"), "n", "pos").distinct()
+    big = stash(big.join(comp, F.col("cls") == comp.node, "left").select("gram", "cls", "n", "pos", F.coalesce("comp", "cls").alias("comp")))
     unstash(met, comp)
-    mixed = now.groupBy("gram").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("gram")
-    some = stash(now.join(mixed, "gram").distinct())
-    unstash(now)
-    now = some.join(classes.select("cls", "parity"), "cls").withColumn("band", _bands(percent))
-    top = some.groupBy("gram", "comp").count().groupBy("gram").agg(F.max_by("comp", F.struct("count", "comp")).alias("top"))
-    y = now.join(top, "gram").where("comp <> top").withColumn("band", F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)])))
+    tops = big.groupBy("gram", "comp").count().groupBy("gram").agg(F.max_by("comp", F.struct("count", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1")
+    tops = stash(tops.select("gram", "top"))
+    mixed = big.join(tops, "gram")
+    mixed = stash(mixed.join(classes.select("cls", "parity"), "cls").withColumn("band", _bands(percent)))
+    y = mixed.where("comp <> top").withColumn("band", F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)])))
     apart = (F.col("x.comp") != F.col("y.comp")) & ((F.col("x.comp") == F.col("y.top")) | (F.col("x.cls") < F.col("y.cls")))
     fits = _might_link(percent) & _parity_fits("x.parity", "y.parity", F.col("x.n"), F.col("y.n"), percent)
-    pairs = now.alias("x").join(y.alias("y"), (F.col("x.gram") == F.col("y.gram")) & (F.col("x.band") == F.col("y.band")) & apart & fits)
+    pairs = mixed.alias("x").join(y.alias("y"), (F.col("x.gram") == F.col("y.gram")) & (F.col("x.band") == F.col("y.band")) & apart & fits)
     pairs = pairs.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
     more = _verify(pairs, classes, usable, width, percent)
     comp = components(links.union(more))
-    unstash(some, links, more)
+    unstash(big, tops, mixed, links, more)
     label = comp.join(classes, comp.node == classes.cls).select("cls", "comp", "rep")
     label = label.join(label.groupBy("comp").agg(F.min("rep").alias("least")), "comp").select("cls", "least")
     ids = classes.join(label, "cls", "left").select("cls", F.coalesce("least", "rep").alias("least"))
@@ -241,4 +326,4 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
 def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """The documents, all columns, without those that link to a smaller ``doc_id`` by any path."""
     gone = near_duplicates(docs, width, percent).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return without(docs, stash(gone))
