@@ -8,9 +8,9 @@ one - are joined with the shingle that comes before each in its class's order.
 
 In a shingle's bucket every two classes that pass the length and the positional filter are a candidate pair, unless
 both have the same shingle before this one: then they met in that one's bucket already, so a run of shared shingles
-gives its pair once. Of buckets with more than ``NEAR`` members, and of those that the sketch shows to be large and
-that are dealt to several tasks, each member only meets the ``NEAR`` before it and the first one; what is in one
-component after that is settled, and classes outside a bucket's largest component are then compared with all others
+gives its pair once. In buckets with more than ``NEAR`` members, and in those that the sketch shows to be large and
+that are dealt to several tasks, each member meets the first one and the one before it, in the order of how few rarer
+shingles they have, and is compared with those it meets most. What is in one component after that is settled, and classes outside a bucket's largest component are then compared with all others
 of the bucket. That stays small because the order is rare first: a passage that many documents share comes last in
 each, so the positional filter only passes documents that consist of it for the most part, and those link.
 
@@ -42,7 +42,7 @@ SKETCH, SLICE = 1 << 22, 1 << 14
 PARTS = 16
 #: Finer parts of which only the parity is kept, as bits: those that differ are a bound too, and cheap to count.
 PARITY = 512
-#: Members of a bucket that each one meets at least; buckets up to this size need nothing more.
+#: In buckets up to this size all members meet.
 NEAR = 32
 #: A bucket that is longer than this is worked off in pieces.
 _PIECE = 1 << 16
@@ -162,53 +162,56 @@ def _prefixes(width: int, percent: int, told):
     return run
 
 
+_MET = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("times", pa.int64()), ("gram", pa.int64()), ("n", pa.int64()), ("pos", pa.int64())])
+#: Kinds of what _meet tells.
+_PAIR, _HUB, _LAST, _MEMBER = range(4)
+
+
 def _meet(percent: int):
-    """Rows in the order of gram, salt, pos and cls to candidate pairs ``(a, b)`` and to the rows of large buckets ``(a, gram, n, pos)``."""
-
-    def pairs_of(gram, salt, cls, n, pos, prior):
-        if len(gram) < 2:
-            new = np.ones(len(gram), bool)
-        else:
-            new = np.concatenate([[True], (gram[1:] != gram[:-1]) | (salt[1:] != salt[:-1])])
-        starts = np.flatnonzero(new)
+    """Rows in the order of gram, salt, pos and cls to candidate pairs of small buckets, and to the members of large
+    ones, with how often each meets the first one and the one before it there."""
+
+    def told(kind, a, b=None, times=None, gram=None, n=None, pos=None):
+        if len(a):
+            cols = [np.full(len(a), kind), a, b, times, gram, n, pos]
+            yield pa.record_batch([pa.nulls(len(a), f.type) if x is None else pa.array(x, f.type) for x, f in zip(cols, _MET, strict=True)], schema=_MET)
+
+    def once(a, b):
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        starts = np.flatnonzero(np.concatenate([np.ones(min(len(a), 1), bool), (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+        return a[starts], b[starts], np.diff(starts, append=len(a))
+
+    def out(rows, whole=False):
+        gram, salt, cls, n, pos, prior = rows
+        starts = np.flatnonzero(np.concatenate([np.ones(min(len(gram), 1), bool), (gram[1:] != gram[:-1]) | (salt[1:] != salt[:-1])]))
         sizes = np.diff(starts, append=len(gram))
         hub = np.repeat(starts, sizes)
-        found = []
+        large = np.repeat(sizes > NEAR, sizes) | (salt > 0) | whole
+        rank = np.arange(len(gram)) - hub
 
-        def meet(x, y):
+        def fits(x, y):
             left, right = n[x], n[y]
             least = np.minimum(left - pos[x], right - pos[y])
-            fits = (100 * np.minimum(left, right) >= percent * np.maximum(left, right)) & ((100 + percent) * least >= percent * (left + right))
-            fits &= ((prior[x] != prior[y]) | (pos[x] == 0) | (pos[y] == 0)) & (cls[x] != cls[y])
-            found.append((np.minimum(cls[x], cls[y])[fits], np.maximum(cls[x], cls[y])[fits]))
+            return (100 * np.minimum(left, right) >= percent * np.maximum(left, right)) & ((100 + percent) * least >= percent * (left + right)) & (cls[x] != cls[y])
 
-        rank = np.arange(len(gram)) - hub
-        for back in range(1, NEAR + 1):
-            y = np.flatnonzero(rank >= back)
+        found, y = [], np.flatnonzero((rank > 0) & ~large)
+        for back in range(1, NEAR):
             if not len(y):
                 break
-            meet(y - back, y)
-        y = np.flatnonzero(rank > NEAR)
-        meet(hub[y], y)
-        a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.lexsort((b, a))
-        a, b = a[order], b[order]
-        if len(a):
-            once = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-            a, b = a[once], b[once]
-        large = np.repeat(sizes > NEAR + 1, sizes) | (salt > 0)
-        return a, b, large
-
-    def out(rows, whole=False):
-        gram, salt, cls, n, pos, prior = rows
-        a, b, large = pairs_of(*rows)
-        large |= whole
-        none = pa.nulls(len(a), pa.int64())
+            x = y - back
+            met = fits(x, y) & ((prior[x] != prior[y]) | (pos[x] == 0) | (pos[y] == 0))
+            found.append((np.minimum(cls[x], cls[y])[met], np.maximum(cls[x], cls[y])[met]))
+            y = y[rank[y] > back]
+        if found:
+            a, b, _ = once(*(np.concatenate(x) for x in zip(*found, strict=True)))
+            yield from told(_PAIR, a, b)
+        y = np.flatnonzero((rank > 0) & large)
+        for kind, x in ((_HUB, hub[y]), (_LAST, y - 1)):
+            met = fits(x, y)
+            yield from told(kind, *once(cls[y][met], cls[x][met]))
         at = np.flatnonzero(large)
-        if len(a):
-            yield pa.record_batch([pa.array(a), pa.array(b), none, none, none], names=["a", "b", "gram", "n", "pos"])
-        if len(at):
-            yield pa.record_batch([pa.array(cls[at]), pa.nulls(len(at), pa.int64()), pa.array(gram[at]), pa.array(n[at]), pa.array(pos[at])], names=["a", "b", "gram", "n", "pos"])
+        yield from told(_MEMBER, cls[at], gram=gram[at], n=n[at], pos=pos[at])
 
     def run(batches):
         held, piece = None, False  # the last bucket, which may go on; whether a piece of it is done already
@@ -296,12 +299,15 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     told = spark.sparkContext.broadcast(_sketch(first))  # SKETCH counters: a fixed size
     prefixes = usable.mapInArrow(_prefixes(width, percent, told), "gram bigint, salt bigint, cls bigint, n bigint, pos bigint, prior bigint")
     dealt = prefixes.repartition("gram", "salt").sortWithinPartitions("gram", "salt", "pos", "cls")
-    met = stash(dealt.mapInArrow(_meet(percent), "a bigint, b bigint, gram bigint, n bigint, pos bigint"))
-    links = _verify(met.where("b is not null").select("a", "b").distinct(), classes, usable, width, percent)
+    met = stash(dealt.mapInArrow(_meet(percent), "kind int, a bigint, b bigint, times bigint, gram bigint, n bigint, pos bigint"))
+    # in large buckets, of each kind the partner that a class meets in most of them; the others are compared below, if that is not enough
+    tries = met.where(F.col("kind").isin(_HUB, _LAST)).groupBy("kind", "a", "b").agg(F.sum("times").alias("times"))
+    best = tries.groupBy("kind", "a").agg(F.max_by("b", F.struct("times", "b")).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    links = _verify(met.where(F.col("kind") == _PAIR).select("a", "b").union(best).distinct(), classes, usable, width, percent)
     comp = components(links)
 
     # large buckets: members outside the largest component against all
-    big = met.where("b is null").select("gram", F.col("a").alias("cls"), "n", "pos").distinct()
+    big = met.where(F.col("kind") == _MEMBER).select("gram", F.col("a").alias("cls"), "n", "pos").distinct()
     big = stash(big.join(comp, F.col("cls") == comp.node, "left").select("gram", "cls", "n", "pos", F.coalesce("comp", "cls").alias("comp")))
     unstash(met, comp)
     tops = big.groupBy("gram", "comp").count().groupBy("gram").agg(F.max_by("comp", F.struct("count", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1")
