@@ -1,24 +1,28 @@
 """Merkle fingerprints of documents, in DataFrame functions only.
 
-A text is cut into paragraphs after every run of line breaks, and paragraphs into clauses after every blank that
-follows a mark (a character that is no letter and no digit) or the letter e, so an edit moves no border outside its
-own clause.
-Clauses are the leaves; the level above groups leaves into sections, a section ending with a leaf whose hash is
-divisible by ``GROUP``; the root is a sha256 over the section nodes and the text's length. Roots test equality;
-sections, then leaves, that differ locate edits. A fingerprint is the root, a colon, and
-the leaves' 32-bit hashes in hexadecimal; the likeness of two is the Jaccard index of their distinct leaves.
+The tree of a text: paragraphs end with a run of line breaks; the phrases of a paragraph are the leaves - a phrase ends
+after a mark (no letter, no digit) or a word of eight letters or more and the blank that follows, so an edit moves
+no border outside its own phrase; a section is a run of paragraphs up to one whose node is divisible by ``GROUP``. A leaf is
+the sha256 of its text, a paragraph's node the sha256 over its leaves, a section's node over its paragraphs, and the
+root over the sections and the text's length. Equal roots mean equal texts; unequal nodes locate edits.
+
+A fingerprint is the root and then the tree, cut to what tells texts apart: ``root:section/section...``, a section being
+``node(paragraph.paragraph...)``, a paragraph ``node`` and its leaves; nodes of sections and paragraphs are the first 16
+and leaves the first 8 hexadecimal digits. ``likeness`` and ``differing`` take two fingerprints and nothing else.
 
 The next document by ``doc_id`` is found without a global sort in one task: documents are dealt into ranges
-of ``doc_id``, the first document of each range is also sent to the range before it, and a window within
-each range looks one row ahead.
+of ``doc_id`` - an id with many rows, or none, into several by the hash of the text -, the first document of each range is
+also sent to the range before it, and a window within each range looks one row ahead.
 
-Defined results: null or empty text has one leaf, the empty one; of equal ids the order is by text; rows with a null
-``doc_id`` come first in the order; the only document is its own next one; other input columns are ignored; an
-empty table gives no rows.
+Defined results: null or empty text has one section with one paragraph with one leaf, the empty one; of equal ids the
+order is by the text's hash, then by text; rows with a null ``doc_id`` come first in the order; the only document is its
+own next one; other input columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,88 +31,159 @@ from spanloom.llm.common import docs_of
 GROUP = 4
 #: Ranges of doc_id: a multiple of the shuffle partitions, so that several ranges share a task and even out.
 RANGES_A_TASK = 4
-#: Where clauses end: after line breaks, or after a blank that follows a mark or an e.
-_CUT = r"(?<=\n)(?!\n)|(?<=(?:e|[^\p{L}\p{N}\s]) )(?=\S)"
+_PARAGRAPH = r"(?<=\n)(?!\n|\z)"
+_PHRASE = r"(?<=(?:[\p{L}\p{N}]{8}|[^\p{L}\p{N}\s]) )(?=\S)"
+_TREE = "array<struct<node:string,paragraphs:array<struct<node:string,leaves:array<string>>>>>"
+
+
+def _over(nodes: Column) -> Column:
+    return F.sha2(F.array_join(nodes, ""), 256)
+
 
+def tree(text: Column) -> Column:
+    """``array<struct<node, paragraphs: array<struct<node, leaves>>>>`` with whole hashes; every level is built once."""
+    once = lambda value, f: F.get(F.transform(F.array(value), f), 0)
+    leaves = lambda p: F.transform(F.split(p, _PHRASE), lambda x: F.sha2(x, 256))
+    paragraph = lambda p: once(leaves(p), lambda own: F.struct(_over(own).alias("node"), own.alias("leaves")))
+    divisible = lambda p: F.conv(F.right(p.node, F.lit(1)), 16, 10).cast("int") % GROUP == 0
 
-def leaves(text: Column) -> Column:
-    """64-bit hashes of the clauses, in order."""
-    return F.transform(F.split(F.coalesce(text, F.lit("")), _CUT), lambda x: F.xxhash64(x))
+    def sections(ps):
+        ends = F.filter(F.sequence(F.lit(1), F.size(ps)), lambda k: (k == F.size(ps)) | divisible(F.get(ps, k - 1)))
+        return once(ends, lambda e: F.transform(e, lambda end, k: once(F.coalesce(F.get(e, k - 1), F.lit(0)), lambda start: F.slice(ps, start + 1, end - start))))
 
+    cut = once(F.transform(F.split(F.coalesce(text, F.lit("")), _PARAGRAPH), paragraph), sections)
+    return F.transform(cut, lambda ps: F.struct(_over(F.transform(ps, lambda p: p.node)).alias("node"), ps.alias("paragraphs")))
 
-def sections(leaf: Column) -> Column:
-    """Nodes above the leaves: a hash of each run of leaves up to one that is divisible by GROUP."""
-    step = lambda s, x: F.struct(
-        F.when(x % GROUP == 0, F.concat(s.done, F.array(F.xxhash64(s.open, x)))).otherwise(s.done).alias("done"),
-        F.when(x % GROUP == 0, F.lit(0).cast("bigint")).otherwise(F.xxhash64(s.open, x)).alias("open"),
-    )
-    start = F.struct(F.array().cast("array<bigint>").alias("done"), F.lit(0).cast("bigint").alias("open"))
-    return F.aggregate(leaf, start, step, lambda s: F.when(s.open == 0, s.done).otherwise(F.concat(s.done, F.array(s.open))))
 
+def root(tree_: Column, n_chars: Column) -> Column:
+    return F.sha2(F.concat(F.array_join(F.transform(tree_, lambda s: s.node), ""), F.lit(":"), n_chars.cast("string")), 256)
 
-def root(text: Column, nodes: Column) -> Column:
-    """The sha256 over the section nodes and the length."""
-    return F.sha2(F.concat_ws(",", F.transform(nodes, lambda x: F.hex(x)), F.char_length(F.coalesce(text, F.lit(""))).cast("string")), 256)
 
+def fingerprint(text: Column) -> Column:
+    said = lambda p: F.concat(F.left(p.node, F.lit(16)), F.array_join(F.transform(p.leaves, lambda x: F.left(x, F.lit(8))), ""))
+    section = lambda s: F.concat(F.left(s.node, F.lit(16)), F.lit("("), F.array_join(F.transform(s.paragraphs, said), "."), F.lit(")"))
+    whole = lambda t: F.concat(root(t, F.char_length(F.coalesce(text, F.lit("")))), F.lit(":"), F.array_join(F.transform(t, section), "/"))
+    return F.get(F.transform(F.array(tree(text)), whole), 0)
 
-def fingerprint(root_: Column, leaf: Column) -> Column:
-    return F.concat(root_, F.lit(":"), F.array_join(F.transform(leaf, lambda x: F.lpad(F.lower(F.hex(x.bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0")), ""))
+
+def parsed(print_: Column) -> Column:
+    """The tree that a fingerprint tells."""
+    eights = lambda x: F.regexp_extract_all(x, F.lit("[0-9a-f]{8}"), F.lit(0))
+    paragraph = lambda p: F.struct(F.left(p, F.lit(16)).alias("node"), eights(F.substring(p, 17, 1 << 30)).alias("leaves"))
+    section = lambda s: F.struct(F.left(s, F.lit(16)).alias("node"), F.transform(F.split(F.regexp_replace(F.substring(s, 18, 1 << 30), r"\)$", ""), r"\."), paragraph).alias("paragraphs"))
+    return F.transform(F.split(F.substring(print_, 66, 1 << 30), "/"), section).cast(_TREE)
+
+
+def leaves_of(print_: Column) -> Column:
+    """All leaves that a fingerprint tells, in order: what is left without root and nodes."""
+    bare = F.regexp_replace(F.substring(print_, 66, 1 << 30), r"(?:/?[0-9a-f]{16}\(|\.)[0-9a-f]{16}|\)", "")
+    # a section's node is followed by its first paragraph's, any other paragraph's by a point
+    return F.regexp_extract_all(F.regexp_replace(bare, r"\(", ""), F.lit("[0-9a-f]{8}"), F.lit(0))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Jaccard index of two texts' leaves, 0 to 1."""
-    return F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))
+    """Jaccard index of the distinct leaves that two fingerprints tell, 0 to 1."""
+    both = F.struct(leaves_of(a).alias("a"), leaves_of(b).alias("b"))
+    return F.get(F.transform(F.array(both), lambda x: F.size(F.array_intersect(x.a, x.b)) / F.size(F.array_union(x.a, x.b))), 0)
+
+
+def _ends(a: Column, b: Column) -> Column:
+    """Of two lists of nodes, how many are equal from the front, and from the back of what is left."""
+    n = F.least(F.size(a), F.size(b))
+    front = F.coalesce(F.get(F.filter(F.sequence(F.lit(0), n), lambda k: (k == n) | (F.get(a, k) != F.get(b, k))), 0), n)
+    told = lambda f: F.struct(f.alias("front"), F.get(F.filter(F.sequence(F.lit(0), n - f), lambda k: (k == n - f) | (F.get(a, F.size(a) - 1 - k) != F.get(b, F.size(b) - 1 - k))), 0).alias("back"))
+    return F.get(F.transform(F.array(front), told), 0)
 
 
 def differing(a: Column, b: Column) -> Column:
-    """Where two texts' leaves differ: the first place from the front and from the back, ``struct<first, last_a, last_b>`` (1-based; null if equal)."""
-    same = lambda x, y: F.zip_with(x, y, lambda p, q: p.eqNullSafe(q))
-    front = F.array_position(same(a, b), False)
-    back = F.array_position(same(F.reverse(a), F.reverse(b)), False)
-    return F.when(a != b, F.struct(front.alias("first"), (F.size(a) - back + 1).alias("last_a"), (F.size(b) - back + 1).alias("last_b")))
+    """Where two fingerprints' texts differ, from the root down: only branches whose nodes differ are opened.
+
+    ``struct<section, paragraph, leaf, last_leaf_a, last_leaf_b>``, 1-based in the whole text: where the difference begins
+    (in a), and the last leaf of it in a and in b (one before ``leaf`` where nothing stands against what the other has).
+    Null if the roots are equal.
+    """
+    once = lambda value, f: F.get(F.transform(F.array(value), f), 0)
+    inner = lambda x, e: F.slice(x, e.front + 1, F.size(x) - e.front - e.back)
+    nodes = lambda x: F.transform(x, lambda s: s.node)
+    count = lambda x: F.aggregate(x, F.lit(0), lambda s, p: s + F.size(p.leaves))
+
+    def in_leaves(sa, pa, pb, es, ep, before):
+        la, lb = (F.flatten(F.transform(inner(p, ep), lambda q: q.leaves)) for p in (pa, pb))
+        skipped = before.leaves + count(F.slice(pa, 1, ep.front))
+        return once(F.struct(la.alias("a"), lb.alias("b")), lambda x: once(_ends(x.a, x.b), lambda el: F.struct((es.front + 1).alias("section"), (before.paragraphs + ep.front + 1).alias("paragraph"), (skipped + el.front + 1).alias("leaf"), (skipped + F.size(x.a) - el.back).alias("last_leaf_a"), (skipped + F.size(x.b) - el.back).alias("last_leaf_b"))))
+
+    def in_paragraphs(t, es):
+        head = F.flatten(F.transform(F.slice(t.a, 1, es.front), lambda s: s.paragraphs))
+        before = F.struct(F.size(head).alias("paragraphs"), count(head).alias("leaves"))
+        pa, pb = (F.flatten(F.transform(inner(x, es), lambda s: s.paragraphs)) for x in (t.a, t.b))
+        return once(F.struct(pa.alias("a"), pb.alias("b"), before.alias("before")), lambda p: once(_ends(nodes(p.a), nodes(p.b)), lambda ep: in_leaves(t.a, p.a, p.b, es, ep, p.before)))
+
+    both = F.struct(parsed(a).alias("a"), parsed(b).alias("b"))
+    return F.when(F.left(a, F.lit(64)) != F.left(b, F.lit(64)), once(both, lambda t: once(_ends(nodes(t.a), nodes(t.b)), lambda es: in_paragraphs(t, es))))
+
+
+#: Stands for a null id: below all others.
+_NONE = -(1 << 63) - 1
+
+
+def _key(doc_id: Column) -> Column:
+    return F.coalesce(doc_id.cast("decimal(20,0)"), F.lit(str(_NONE)).cast("decimal(20,0)"))
+
+
+def _edges(cuts: list, nulls: int, n: int) -> list[tuple[int, int]]:
+    """Where ranges begin, as (id, hash): an id that is several cuts has several ranges."""
+    times: dict[int, int] = {_NONE: nulls} if nulls > 1 else {}
+    for c in cuts:
+        times[c] = times.get(c, 0) + 1
+    return sorted((i, -(1 << 63) + (k << 64) // t) for i, t in times.items() for k in range(t))
 
 
-def _bucket(doc_id: Column, edges: list[int]) -> Column:
-    """How many edges are at or below doc_id, by a table of tables; nulls are in range 0."""
+def _bucket(key: Column, h: Column, edges: list[tuple[int, int]]) -> Column:
+    """How many edges are at or below (key, hash), by a table of tables."""
     if not edges:
         return F.lit(0)
     width = max(1, int(len(edges) ** 0.5))
-    rows = [edges[k : k + width] for k in range(0, len(edges), width)]
-    heads = F.array(*[F.lit(r[0]).cast("bigint") for r in rows])
-    table = F.array(*[F.array(*[F.lit(x).cast("bigint") for x in r]) for r in rows])
-    row = F.size(F.filter(heads, lambda x: x <= doc_id))
-    return F.when(doc_id.isNull() | (row == 0), 0).otherwise((row - 1) * width + F.size(F.filter(F.get(table, row - 1), lambda x: x <= doc_id)))
+    rows = [[{"i": i, "h": x} for i, x in edges[k : k + width]] for k in range(0, len(edges), width)]
+    kind = "array<struct<i:decimal(20,0),h:bigint>>"
+    heads = F.from_json(F.lit(json.dumps([r[0] for r in rows])), kind)
+    table = F.from_json(F.lit(json.dumps(rows)), f"array<{kind}>")
+    under = lambda x: (x.i < key) | ((x.i == key) & (x.h <= h))
+    row = F.size(F.filter(heads, under))
+    return F.when(row == 0, 0).otherwise((row - 1) * width + F.size(F.filter(F.get(table, row - 1), under)))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
     """``doc_id, text, next_text``: each row with the text of the next one by doc_id, the last one with the first one's."""
-    spark, docs = docs.sparkSession, docs_of(docs)
+    spark = docs.sparkSession
+    docs = docs_of(docs).withColumn("h", F.xxhash64("text"))
     n = RANGES_A_TASK * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    got = docs.select(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 20 * n).alias("e")).first().e if n > 1 else []
-    edges = sorted(set(got or []))
-    placed = docs.withColumn("range", _bucket(F.col("doc_id"), edges))
+    got = docs.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)] or [0.5], 20 * n).alias("e"), F.count_if(F.col("doc_id").isNull()).alias("null"), F.count("*").alias("all")).first()
+    edges = _edges(got.e or [], got.null * n // max(got["all"], 1), n)
+    placed = docs.withColumn("range", _bucket(_key(F.col("doc_id")), F.col("h"), edges))
     # a row for each range: as many as the cluster's settings say, not the corpus
-    firsts = sorted(placed.groupBy("range").agg(F.min("doc_id").alias("id"), F.max(F.col("doc_id").isNull()).alias("null")).collect(), key=lambda r: r["range"])
+    first = F.min(F.struct(_key(F.col("doc_id")).alias("key"), "h")).alias("first")
+    firsts = sorted(placed.groupBy("range").agg(first).collect(), key=lambda r: r["range"])
     if not firsts:
-        return docs.withColumn("next_text", F.lit(None).cast("string"))
-    targets = [(r["range"], None if r["null"] else r["id"], firsts[k - 1]["range"]) for k, r in enumerate(firsts)]
-    told = spark.createDataFrame(targets, "range int, first bigint, target int")
-    heads = placed.join(F.broadcast(told), "range").where(F.col("doc_id").eqNullSafe(F.col("first")))
-    both = placed.select("doc_id", "text", "range", F.lit(0).alias("tail")).union(heads.select("doc_id", "text", "target", F.lit(1)))
-    order = Window.partitionBy("range").orderBy("tail", F.col("doc_id").asc_nulls_first(), "text")
+        return docs.select("doc_id", "text", F.lit(None).cast("string").alias("next_text"))
+    targets = [(r["range"], r["first"].key, r["first"].h, firsts[k - 1]["range"]) for k, r in enumerate(firsts)]
+    told = spark.createDataFrame(targets, "range int, first_key decimal(20,0), first_h bigint, target int")
+    heads = placed.join(F.broadcast(told), "range").where((_key(F.col("doc_id")) == F.col("first_key")) & (F.col("h") == F.col("first_h")))
+    # rows that share the first place: one will do, the first by text
+    heads = heads.groupBy("target").agg(F.min_by(F.struct("doc_id", "text", "h"), "text").alias("x")).select("x.doc_id", "x.text", "x.h", "target", F.lit(1).alias("tail"))
+    both = placed.select("doc_id", "text", "h", "range", F.lit(0).alias("tail")).union(heads)
+    order = Window.partitionBy("range").orderBy("tail", F.col("doc_id").asc_nulls_first(), "h", "text")
     return both.withColumn("next_text", F.lead("text").over(order)).where("tail = 0").select("doc_id", "text", "next_text")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """``doc_id, fingerprint`` of every row."""
-    read = docs_of(docs).withColumn("leaf", leaves(F.col("text")))
-    return read.select("doc_id", fingerprint(root(F.col("text"), sections(F.col("leaf"))), F.col("leaf")).alias("fingerprint"))
+    return docs_of(docs).select("doc_id", fingerprint(F.col("text")).alias("fingerprint"))
 
 
 def compared(docs: DataFrame) -> DataFrame:
-    """Every row's fingerprint, its edited text's, and their likeness; the edit is the contract's, see the query."""
+    """Every row's fingerprint, its edited text's, their likeness, that to the next text's, and where the edit begins; the edit is the contract's, see the query."""
     d = with_next(docs).withColumn("n_chars", F.char_length("text").cast("bigint")).withColumn("cut", F.expr("cast(n_chars div 4 as int)"))
     d = d.withColumn("edited", F.expr("concat(left(text, cast(n_chars - cut as int)), left(next_text, cut))"))
-    d = d.select("doc_id", "n_chars", "text", "edited", F.sha2("edited", 256).alias("edited_sha256"), *(leaves(F.col(c)).alias(f"leaf_{c}") for c in ("text", "edited", "next_text")))
-    of = lambda c: fingerprint(root(F.col(c), sections(F.col(f"leaf_{c}"))), F.col(f"leaf_{c}"))
-    return d.select("doc_id", "n_chars", "edited_sha256", of("text").alias("fingerprint"), of("edited").alias("edited_fingerprint"), likeness(F.col("leaf_text"), F.col("leaf_edited")).alias("near_edited"), likeness(F.col("leaf_text"), F.col("leaf_next_text")).alias("near_next"))
+    prints = F.array(*[F.struct(fingerprint(F.col("text")).alias("own"), fingerprint(F.col("edited")).alias("edited"), fingerprint(F.col("next_text")).alias("next"))])
+    d = d.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.explode(prints).alias("p"))  # bound once: what follows reads them often
+    return d.select("doc_id", "n_chars", "edited_sha256", F.col("p.own").alias("fingerprint"), F.col("p.edited").alias("edited_fingerprint"), likeness(F.col("p.own"), F.col("p.edited")).alias("near_edited"), likeness(F.col("p.own"), F.col("p.next")).alias("near_next"), differing(F.col("p.own"), F.col("p.edited")).alias("edit")).select("*", "edit.paragraph", "edit.leaf").drop("edit")

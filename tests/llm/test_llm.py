@@ -4,6 +4,7 @@ import hashlib
 import json
 import math
 import random
+import unicodedata
 import zlib
 
 import numpy as np
@@ -100,6 +101,17 @@ def test_ngram_join_on_random_groups(spark):
     assert got == brute_components(rows)
 
 
+def test_ngram_join_on_a_passage_of_unlike_documents(spark):
+    passage = " ".join(f"p{k}" for k in range(60))
+    own = lambda i, n: " ".join(f"w{i}x{k}" for k in range(n))
+    rows = [(i, f"{own(i, 30)} {passage} {own(i + 10_000, 10 + i % 80)}") for i in range(2_000)]
+    words = [f"c{k}" for k in range(120)]
+    copies = [(5_000 + i, " ".join(w if k != i % 120 else f"z{i}" for k, w in enumerate(words))) for i in range(150)]  # a large bucket, all linked
+    pairs = [(6_000 + i, f"{own(20_000 + i // 2, 60)} tail{i}") for i in range(40)]
+    got = {r.doc_id: r.component_id for r in ngram_join.near_duplicates(spark.createDataFrame(rows + copies + pairs, "doc_id bigint, text string")).collect()}
+    assert got == {**{i: i for i, _ in rows}, **{i: 5_000 for i, _ in copies}, **{i: i - i % 2 for i, _ in pairs}}
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (102, 101)]
     got = {r.node: r.comp for r in common.components(spark.createDataFrame(chain, "a bigint, b bigint")).collect()}
@@ -161,31 +173,89 @@ def test_line_dedup_of_short_equal_lines(spark, tmp_path):
     assert got == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in want.items()}
 
 
+def brute_tree(text):
+    """Sections of paragraphs of leaves, with whole hashes, by plain loops."""
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    word = lambda c: unicodedata.category(c)[0] in "LN"
+    paragraphs, at = [], 0
+    for k in range(1, len(text)):
+        if text[k - 1] == "\n" and text[k] != "\n":
+            paragraphs.append(text[at:k])
+            at = k
+    paragraphs.append(text[at:])
+    sections, held = [], []
+    for p in paragraphs:
+        leaves, at = [], 0
+        for k in range(2, len(p)):
+            mark = not word(p[k - 2]) and not p[k - 2] in " \t\n\r\x0b\x0c"
+            if p[k - 1] == " " and p[k] not in " \t\n\r\x0b\x0c" and (mark or (k >= 9 and all(map(word, p[k - 9 : k - 1])))):
+                leaves.append(sha(p[at:k]))
+                at = k
+        leaves.append(sha(p[at:]))
+        held.append((sha("".join(leaves)), leaves))
+        if int(held[-1][0][-1], 16) % merkle.GROUP == 0:
+            sections.append(held)
+            held = []
+    if held:
+        sections.append(held)
+    return [(sha("".join(n for n, _ in s)), s) for s in sections], sha("".join(sha("".join(n for n, _ in s)) for s in sections) + f":{len(text)}")
+
+
+def brute_print(text):
+    tree, root = brute_tree(text)
+    return root + ":" + "/".join(f"{n[:16]}(" + ".".join(p[:16] + "".join(x[:8] for x in leaves) for p, leaves in s) + ")" for n, s in tree)
+
+
+def brute_likeness(a, b):
+    x, y = ({leaf[:8] for _, s in brute_tree(t)[0] for _, leaves in s for leaf in leaves} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
 def test_merkle(docs, nothing):
     got = merkle.compared(docs).collect()
-    order = sorted(((i, t or "") for i, t in ROWS), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    h = dict(docs.selectExpr("coalesce(text, '') t", "xxhash64(coalesce(text, '')) h").distinct().collect())
+    order = sorted(((i, t or "") for i, t in ROWS), key=lambda x: (x[0] is not None, x[0] or 0, h[x[1]], x[1]))
     want = []
     for k, (i, t) in enumerate(order):
         after, cut = order[(k + 1) % len(order)][1], len(t) // 4
-        want.append((i, len(t), hashlib.sha256((t[: len(t) - cut] + after[:cut]).encode()).hexdigest()))
-    assert bag((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == bag(want)
-    prints = collections.defaultdict(set)
-    for r in merkle.fingerprints(docs).collect():
-        prints[r.fingerprint].add(r.doc_id)
-    assert len(prints) == len({t or "" for _, t in ROWS})
-    assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
+        edited = t[: len(t) - cut] + after[:cut]
+        want.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), brute_print(t), brute_print(edited), brute_likeness(t, edited), brute_likeness(t, after)))
+    assert bag(tuple(r)[:7] for r in got) == bag(want)
+    assert all((r.paragraph is None) == (r.fingerprint == r.edited_fingerprint) for r in got)
+    assert len({r.fingerprint for r in merkle.fingerprints(docs).collect()}) == len({t or "" for _, t in ROWS})
     long = next(r for r in got if r.doc_id == 17)
     assert long.near_edited > long.near_next
     assert merkle.compared(nothing).collect() == []
 
 
+def test_merkle_deals_a_common_id_into_several_ranges(spark):
+    rows = [(None if i % 3 else 7, f"text {i}") for i in range(400)] + [(i, f"more {i}") for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    h = dict(df.selectExpr("text", "xxhash64(text)").collect())
+    order = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, h[x[1]], x[1]))
+    got = merkle.with_next(df).collect()
+    assert bag(tuple(r) for r in got) == bag((i, t, order[(k + 1) % len(order)][1]) for k, (i, t) in enumerate(order))
+    edges = merkle._edges([3, 7, 7, 7, 9], 4, 16)
+    assert [i for i, _ in edges] == [merkle._NONE] * 4 + [3, 7, 7, 7, 9] and edges[0][1] == edges[4][1] == -(1 << 63)
+
+
 def test_merkle_locates_edits(spark):
     from pyspark.sql import functions as F
 
-    a = "one two, three four, five six, seven."
-    df = spark.createDataFrame([(a, a.replace("five", "nine")), (a, a)], "a string, b string")
-    got = df.select(merkle.differing(merkle.leaves(F.col("a")), merkle.leaves(F.col("b"))).alias("d")).collect()
-    assert (got[0].d.first, got[0].d.last_a) == (5, 5) and got[1].d is None
+    lines = [f"line {i}, {say(i, 12)}. And more; here it ends.\n" for i in range(40)]
+    a = "".join(lines)
+    changed = lambda k, new: "".join(new if i == k else x for i, x in enumerate(lines))
+    cases = [(a, a), (a, changed(7, lines[7].replace("more", "less"))), (a, changed(20, "")), (a, changed(39, "an end")), (a, ""), ("", "x"), (a, "new line, here.\n" + a)]
+    df = spark.createDataFrame([(k, *c) for k, c in enumerate(cases)], "k int, a string, b string")
+    got = [r.d for r in df.select("k", merkle.differing(merkle.fingerprint(F.col("a")), merkle.fingerprint(F.col("b"))).alias("d")).orderBy("k").collect()]
+    for (x, y), d in zip(cases, got, strict=True):
+        flat = [[leaf for _, s in brute_tree(t)[0] for _, leaves in s for leaf in leaves] for t in (x, y)]
+        if x == y:
+            assert d is None
+            continue
+        assert flat[0][: d.leaf - 1] == flat[1][: d.leaf - 1] and flat[0][d.last_leaf_a :] == flat[1][d.last_leaf_b :]
+        assert 1 <= d.leaf and d.last_leaf_a < len(flat[0]) + 1 and flat[0][d.leaf - 1 : d.last_leaf_a] != flat[1][d.leaf - 1 : d.last_leaf_b]
+    assert got[1].paragraph == 8 and got[2].paragraph == 21 and got[3].paragraph == 40
 
 
 def test_brown_lm(docs, nothing):
@@ -455,6 +525,30 @@ def test_toxicity(spark, docs, nothing):
     assert toxicity.score(nothing, labels).collect() == []
 
 
+def test_toxicity_against_plain_loops(spark):
+    import zstandard
+
+    d, labels = labelled(spark)
+    raw = lambda x: zstandard.ZstdCompressionDict(bytes(range(1, 33)) + x, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    size = lambda x, by: len(zstandard.ZstdCompressor(level=toxicity.LEVEL, dict_data=raw(by), write_content_size=False, write_dict_id=False).compress(x))
+    texts = ["", "a b! c?", "you nitwit " + say(3, 9), "x" * 200 + " é", say(4, 30)]
+    d = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], SCHEMA).union(d.where("doc_id >= 5"))
+    got = {r.doc_id: r.score for r in toxicity.score(d, labels).collect()}
+    own = toxicity.train(d, labels)
+    assert len(own.toxic) <= toxicity.TOXIC_BYTES and len(own.ordinary) <= toxicity.ORDINARY_BYTES
+    for i, t in enumerate(texts):
+        words = t.lower().encode().split()
+        windows = [w[k : k + 64] for w in words for k in range(0, len(w), 64)]
+        assert b"".join(windows) == b"".join(words)  # the whole text
+        values = []
+        for w in windows:
+            x = b" " + w + b" " + bytes(range(1, 33))
+            values.append(own.ratios.get((len(w) * 256 + size(x, own.ordinary)) * 256 + size(x, own.toxic + own.ordinary), 0.0))
+        n, over = len(values) + 30, [max(v - 1, 0) for v in values]
+        feats = [sum(values) / n, sum(max(v - 0.5, 0) for v in values) / n, sum(over) / n, min(sum(over), 20), max([0, *values])]
+        assert got[i] == pytest.approx(float(1 / (1 + np.exp(-own.curve(np.array([feats]))[0]))), abs=1e-9)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
