@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.functions.text import is_garbage
+from spanloom.functions.text import is_garbage, let
 
 
 def quality(lines: DataFrame, least_words: int = 5, least_mean: float = 0.5) -> DataFrame:
@@ -20,6 +20,21 @@ def quality(lines: DataFrame, least_words: int = 5, least_mean: float = 0.5) ->
     return got.withColumn("readable", (F.col("words") >= least_words) & (F.coalesce("mean", F.lit(0.0)) >= least_mean))
 
 
+def is_blank(grey: Column, least: float = 2.0) -> Column:
+    """Whether a page (its luminances) has no ink: they spread less than ``least``. Such pages pass unread."""
+    n, real = F.size(grey), F.transform(grey, lambda x: x.cast("double"))
+    mean = F.aggregate(real, F.lit(0.0), lambda s, x: s + x) / n
+    spread = let(mean, lambda m: F.sqrt(F.aggregate(real, F.lit(0.0), lambda s, x: s + (x - m) * (x - m)) / n))
+    return F.when(n > 0, spread < least).otherwise(True)
+
+
+def passes(first: DataFrame, more: DataFrame) -> DataFrame:
+    """The lines of a page's first reading, then those of further ones, numbered on."""
+    both = first.withColumn("pass__", F.lit(0)).unionByName(more.withColumn("pass__", F.lit(1)))
+    order = Window.partitionBy("page_id").orderBy("pass__", "line_no")
+    return both.withColumn("line_no", F.row_number().over(order) - 1).drop("pass__")
+
+
 def line_starts(lines: DataFrame) -> DataFrame:
     """Adds ``at``: each line's offset in the page's text, lines joined by line breaks."""
     order = Window.partitionBy("page_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)

@@ -2,7 +2,7 @@
 
 A span is ``struct<entity, pattern, start, end, score>`` with half-open code-point offsets. Offsets come from
 the gaps between matches, so no Python and no UTF-16 positions are involved. A pattern's expression runs only
-on rows that its cheap guard passes.
+on rows that pass its guard: literals and digits without which it cannot match.
 """
 
 from __future__ import annotations
@@ -15,10 +15,13 @@ from pyspark.sql import functions as F
 
 from spanloom.functions.checks import CHECKS
 from spanloom.functions.text import is_form_label, let, mask_blobs
+from spanloom.plans.catalogue import CHECKED, NEEDS, NO_DIGIT, PATTERNS, PHRASES
 from spanloom.plans.config import Config, active
 
 SPAN = "struct<entity:string,pattern:string,start:int,end:int,score:double>"
 EPSILON = 1e-9
+#: What a phrase before a finding adds, and the least that it then scores. Fixed values.
+BOOST, LEAST_BOOSTED = 0.35, 0.4
 _LABELLED = ("PERSON", "DOB", "ADDRESS", "CUSTOMER_ID")
 
 
@@ -30,21 +33,47 @@ def empty() -> Column:
     return F.array().cast(f"array<{SPAN}>")
 
 
-def find_all(text: Column, regex: str, entity: str, pattern: str, score: float, check=None, flags: str = "(?iU)") -> Column:
-    """All leftmost matches as spans; ``check`` is a predicate on the matched text."""
+def find_all(text: Column, regex: str, entity: str, pattern: str, score: float, check=None, flags: str = "(?iU)", guard: Column | None = None, phrases: Iterable[str] = ()) -> Column:
+    """All leftmost matches as spans; ``check`` is a predicate on the matched text, ``guard`` what the text must be like for any match.
+
+    A text without a match is searched once. Where one of ``phrases`` stands in the five words before a match, its
+    score grows by ``BOOST``, to ``LEAST_BOOSTED`` at least.
+    """
     rx = flags + regex
-    hits, gaps = F.regexp_extract_all(text, F.lit(rx), F.lit(0)), F.split(text, rx, -1)
-    pairs = F.zip_with(hits, F.slice(gaps, 1, F.size(hits)), lambda h, g: F.struct(h.alias("h"), F.char_length(g).alias("g")))
 
-    def step(s, x):
-        start = s.at + x.g
-        end = start + F.char_length(x.h)
-        span = F.struct(F.lit(entity).alias("entity"), F.lit(pattern).alias("pattern"), start.alias("start"), end.alias("end"), F.lit(float(score)).alias("score"))
-        kept = F.concat(s.out, F.array(span))
-        return F.struct(end.alias("at"), (F.when(check(x.h), kept).otherwise(s.out) if check else kept).alias("out"))
+    def spans(hits):
+        pairs = F.zip_with(hits, F.slice(F.split(text, rx, -1), 1, F.size(hits)), lambda h, g: F.struct(h.alias("h"), F.char_length(g).alias("g")))
+
+        def step(s, x):
+            start = s.at + x.g
+            end = start + F.char_length(x.h)
+            told = F.lit(float(score))
+            if phrases:
+                before = F.lower(F.regexp_extract(F.substring(text, F.greatest(start - 120, F.lit(0)) + 1, F.least(start, F.lit(120))), r"(?:\S+\s+){0,5}\S*$", 0))
+                told = F.when(_holds(before, phrases), F.lit(float(min(1.0, max(score + BOOST, LEAST_BOOSTED))))).otherwise(told)
+            span = F.struct(F.lit(entity).alias("entity"), F.lit(pattern).alias("pattern"), start.alias("start"), end.alias("end"), told.alias("score"))
+            kept = F.concat(s.out, F.array(span))
+            return F.struct(end.alias("at"), (F.when(check(x.h), kept).otherwise(s.out) if check else kept).alias("out"))
+
+        return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty().alias("out")), step, lambda s: s.out)
+
+    found = let(F.regexp_extract_all(text, F.lit(rx), F.lit(0)), lambda hits: F.when(F.size(hits) > 0, spans(hits)).otherwise(empty()))
+    return found if guard is None else F.when(guard, found).otherwise(empty())
+
+
+def _holds(text: Column, words: Iterable[str]) -> Column:
+    out = F.lit(False)
+    for w in words:
+        out = out | text.contains(w)
+    return out
+
 
-    found = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty().alias("out")), step, lambda s: s.out)
-    return F.when(text.rlike(rx), found).otherwise(empty())
+def _guard(entity: str, low: Column, digit: Column) -> Column | None:
+    """Whether a text can hold a match of the entity's shipped patterns at all."""
+    need = _holds(low, NEEDS[entity]) if entity in NEEDS else None
+    if entity in NO_DIGIT:
+        return need
+    return digit if need is None else digit & need
 
 
 def terms(text: Column, words: Iterable[str]) -> Column:
@@ -79,9 +108,24 @@ def detect(text: Column, config: Config, context: str = "default", entities: lis
     rule = config.context(context)
     wanted = active(config, context, entities)
     cut = rule.threshold if threshold is None else threshold
-    able = [(p.regex, p.entity, p.name, p.score, None) for p in config.patterns if p.entity in wanted and p.score >= cut]
-    able += [(regex, entity, check or "format", score, CHECKS.get(check)) for entity, regex, score, check in config.checked if entity in wanted and score >= cut]
-    out = let(mask_blobs(text), lambda masked: F.concat(empty(), *(find_all(masked, *x) for x in able)))
+    able = [(p.regex, p.entity, p.name, p.score, None) for p in config.patterns if p.entity in wanted]
+    able += [(regex, entity, check or "format", score, CHECKS.get(check)) for entity, regex, score, check in config.checked if entity in wanted]
+    shipped = {(e, rx) for e, _, rx, _ in PATTERNS} | {(e, rx) for e, rx, _, _ in CHECKED}
+
+    def found(at):
+        out = empty()
+        for regex, entity, name, score, check in able:
+            phrases = PHRASES.get(entity, ())
+            if max(score, min(1.0, max(score + BOOST, LEAST_BOOSTED)) if phrases else score) < cut:
+                continue
+            guard = _guard(entity, at.low, at.digit) if (entity, regex) in shipped else None
+            one = find_all(at.text, regex, entity, name, score, check, guard=guard, phrases=phrases)
+            out = F.concat(out, F.filter(one, lambda s: s.score >= cut) if phrases else one)
+        return out
+
+    # folded as matching without case folds them
+    read = lambda masked: F.struct(masked.alias("text"), F.lower(F.translate(masked, "\u017f\u0131\u0130", "sii")).alias("low"), masked.rlike(r"(?U)\d").alias("digit"))
+    out = let(mask_blobs(text), lambda masked: let(read(masked), found))
     if extra is not None:
         known = [e for e in wanted if e in config.entities]
         value = lambda s: F.substring(text, s.start + 1, s.end - s.start)

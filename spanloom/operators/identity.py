@@ -11,10 +11,19 @@ from spanloom.functions.text import plain
 FIELDS = ("names", "emails", "phones", "addresses", "ids")
 #: entity: field. Fixed values; other entities always count as mine.
 FIELD_OF = {"PERSON": "names", "EMAIL": "emails", "PHONE": "phones", "IN_PHONE": "phones", "ADDRESS": "addresses"} | {
-    e: "ids" for e in ("CREDIT_CARD", "IN_AADHAAR", "IN_PAN", "IN_GSTIN", "IN_VOTER", "IN_PASSPORT", "IN_VEHICLE_REGISTRATION", "IN_DRIVING_LICENCE", "IN_BANK_ACCOUNT", "US_SSN", "US_ITIN", "US_PASSPORT", "US_DRIVER_LICENSE", "US_BANK_NUMBER", "UK_NINO", "UK_NHS", "UK_PASSPORT", "UK_DRIVING_LICENCE", "IBAN_CODE", "CUSTOMER_ID")
+    e: "ids" for e in ("IN_PAN", "IN_AADHAAR", "IN_GSTIN", "IN_VOTER", "IN_PASSPORT", "IN_DRIVING_LICENCE", "IN_VEHICLE_REGISTRATION", "IN_UPI", "IN_IFSC", "US_SSN", "US_ITIN", "US_PASSPORT", "US_DRIVER_LICENSE", "US_BANK_NUMBER", "IBAN_CODE", "CREDIT_CARD")
 }
 
 
+def load(path: str) -> dict[str, list[str]]:
+    """The details that a YAML file on the driver holds; absent fields are empty."""
+    import yaml
+
+    with open(path, encoding="utf-8") as f:
+        said = yaml.safe_load(f) or {}
+    return {x: list(said.get(x) or []) for x in FIELDS}
+
+
 def frame(spark: SparkSession, identity: dict[str, list[str]]) -> DataFrame:
     """A single row; absent fields are empty."""
     row = [[list(identity.get(f) or []) for f in FIELDS]]
@@ -30,7 +39,7 @@ def is_mine(entity: Column, value: Column, me: Column) -> Column:
     """Names without dots and addresses: either holds the other; phones: the last ten digits; ids: all digits, or
     either holds the other without separators; emails: equal. An entity without a field is mine; an empty field matches nothing."""
     dots = lambda c: plain(F.regexp_replace(c, r"\.", ""))
-    bare = lambda c: F.regexp_replace(F.lower(c), r"[\s./-]", "")
+    bare = lambda c: plain(F.regexp_replace(c, "[ -]", ""))
     tail = lambda c, n: F.right(digits(c), F.lit(n))
     ways = {
         "names": _either(value, me.names, dots),

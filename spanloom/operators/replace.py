@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 import hashlib
-import hmac
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions.text import let
 from spanloom.operators.detect import RedactionFailed, detect
 from spanloom.operators.resolve import places_in_row, prefer_specific, settle
-from spanloom.plans.config import Config
+from spanloom.plans.config import STRATEGIES, Config
 
 
 def _map(pairs: dict[str, str]) -> Column:
@@ -62,35 +61,60 @@ def masked(text: Column, spans: Column) -> Column:
     return F.transform(spans, lambda s: F.repeat(F.lit("*"), s.end - s.start))
 
 
-def hashed(text: Column, spans: Column, salt: str | None) -> Column:
-    """[ENTITY_digest]: 12 hex digits of a keyed hash. The salt travels in the function and is in no plan text."""
+def pads(df: DataFrame, salt: str | None) -> DataFrame:
+    """One row ``inner, outer``: the keyed hash's padded keys. The salt travels as data, so no plan text shows it."""
     if not salt:
         raise RedactionFailed("the hash strategy needs a salt")
     key = salt.encode()
+    key = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    row = [tuple(bytearray(x ^ pad for x in key) for pad in (0x36, 0x5C))]
+    return df.sparkSession.createDataFrame(row, "inner__ binary, outer__ binary")
 
-    @F.pandas_udf("array<string>")
-    def digest(rows: pd.Series) -> pd.Series:
-        return rows.map(lambda got: None if got is None else [f"[{v['entity']}_{hmac.new(key, v['value'].encode(), hashlib.sha256).hexdigest()[:12]}]" for v in got])
 
-    return digest(values(text, spans))
+def hashed(text: Column, spans: Column, inner: Column, outer: Column) -> Column:
+    """[ENTITY_digest]: 12 hex digits of the keyed sha256 of the value (HMAC), from the two padded keys."""
+    digest = lambda v: F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, F.encode(v, "UTF-8")), 256))), 256)
+    return F.transform(values(text, spans), lambda v: F.concat(F.lit("["), v.entity, F.lit("_"), F.left(digest(v.value), F.lit(12)), F.lit("]")))
 
 
-def anonymize(text: Column, spans: Column, config: Config, strategy: str, salt: str | None = None) -> Column:
-    """The text with all spans replaced; spans must be settled. Null text stays null."""
-    new = {"consistent": lambda: numbered(text, spans, config), "label": lambda: labelled(text, spans, config), "mask": lambda: masked(text, spans), "hash": lambda: hashed(text, spans, salt)}[strategy]()
-    return put(text, spans, new)
+#: name: (text, spans, config) to an array of new values, one a span.
+_OWN: dict[str, Callable[[Column, Column, Config], Column]] = {"consistent": lambda t, s, c: numbered(t, s, c), "label": lambda t, s, c: labelled(t, s, c), "mask": lambda t, s, c: masked(t, s)}
+
+
+def register(name: str, new: Callable[[Column, Column, Config], Column]) -> None:
+    """A strategy of one's own: contexts may name it from here on. ``new`` gives an array of strings, one a span."""
+    if name in ("hash", "consistent", "label", "mask"):
+        raise ValueError(f"{name} is a shipped strategy")
+    _OWN[name] = new
+    STRATEGIES.add(name)
+
+
+def anonymize(text: Column, spans: Column, config: Config, strategy: str, keys: tuple[Column, Column] | None = None) -> Column:
+    """The text with all spans replaced; spans must be settled. Null text stays null. ``keys`` are the hash strategy's."""
+    if strategy == "hash":
+        if keys is None:
+            raise RedactionFailed("the hash strategy needs a salt")
+        return put(text, spans, hashed(text, spans, *keys))
+    if strategy not in _OWN:
+        raise RedactionFailed(f"unknown strategy {strategy!r}")
+    return put(text, spans, _OWN[strategy](text, spans, config))
 
 
 def redact(df: DataFrame, config: Config, context: str = "default", text: str = "text", entities: list[str] | None = None, strategy: str | None = None, salt: str | None = None, extra: Column | None = None, keep=None) -> DataFrame:
-    """df with ``spans`` (settled), ``redacted`` and ``receipt`` (distinct places by entity).
+    """df with ``spans`` (settled), ``redacted`` and ``receipt`` (distinct places by entity); columns of df that have
+    one of these names are replaced.
 
     ``keep`` is a function of the spans column, such as an identity filter. A failing detector fails the task, so
     nothing half redacted is published. The same works on a streaming DataFrame.
     """
+    how, names = strategy or config.context(context).strategy, [*df.columns, *(c for c in ("spans", "receipt", "redacted") if c not in df.columns)]
     found = prefer_specific(detect(F.col(text), config, context, entities, extra=extra), config)
-    out = df.withColumn("found__", keep(found) if keep else found)
-    out = out.withColumn("spans", settle(F.col("found__"))).withColumn("receipt", places_in_row(F.col("found__"))).drop("found__")
-    return out.withColumn("redacted", anonymize(F.col(text), F.col("spans"), config, strategy or config.context(context).strategy, salt))
+    out, keys = df, None
+    if how == "hash":
+        out, keys = df.crossJoin(F.broadcast(pads(df, salt))), (F.col("inner__"), F.col("outer__"))  # one row
+    out = out.withColumn("found__", keep(found) if keep else found)
+    out = out.withColumn("spans", settle(F.col("found__"))).withColumn("receipt", places_in_row(F.col("found__")))
+    return out.withColumn("redacted", anonymize(F.col(text), F.col("spans"), config, how, keys)).select(*names)
 
 
 def quarantine(df: DataFrame, config: Config, context: str = "default", text: str = "text") -> DataFrame:

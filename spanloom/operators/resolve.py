@@ -81,7 +81,7 @@ def places_in_row(spans: Column) -> Column:
 
 
 #: Parts of an address that tell a specific place. Fixed values.
-SPECIFIC = ["house_number", "building", "street", "road", "locality", "sublocality", "landmark", "unit"]
+SPECIFIC = ["road", "locality", "sub_locality", "city", "state"]
 
 
 def merge_addresses(parts: DataFrame, texts: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -113,3 +113,19 @@ def add_rescan(spans: DataFrame, more: DataFrame, key: str = "doc_id") -> DataFr
     a, b = more.alias("a"), spans.alias("b")
     inside = (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.entity") == F.col("b.entity")) & (F.col("b.start") <= F.col("a.start")) & (F.col("a.end") <= F.col("b.end"))
     return spans.unionByName(a.join(b, inside, "left_anti"))
+
+
+#: Lines of this many characters are scanned again, alone, at this cut-off; only these entities may be added. Fixed values.
+RESCAN_LENGTH, RESCAN_CUT, RESCANNED = 12, 0.31, ("PERSON", "ADDRESS")
+
+
+def rescan(spans: DataFrame, lines: DataFrame, find, key: str = "page_id") -> DataFrame:
+    """``add_rescan`` of what ``find`` sees in the lines (``key, line_no, text, at``) one by one.
+
+    ``find(text, cut)`` is a column function to an array of spans; what it finds counts if three letters stand together in it.
+    """
+    wanted = lines.where(F.char_length(F.trim("text")) >= RESCAN_LENGTH)
+    hit = wanted.select(key, "text", "at", F.explode(find(F.col("text"), RESCAN_CUT)).alias("s")).where(F.col("s.entity").isin(*RESCANNED) & (F.col("s.score") >= RESCAN_CUT))
+    value = F.substring(F.col("text"), F.col("s.start") + 1, F.col("s.end") - F.col("s.start"))
+    hit = hit.where(value.rlike(r"\p{L}{3}")).select(key, "s.entity", (F.col("s.start") + F.col("at")).alias("start"), (F.col("s.end") + F.col("at")).alias("end"), "s.score")
+    return add_rescan(spans.select(key, "entity", "start", "end", "score"), hit, key)

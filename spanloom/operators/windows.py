@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 from typing import Protocol
 
 import pandas as pd
@@ -26,23 +27,18 @@ def token_windows(n: Column, size: int, overlap: int = 48) -> Column:
 
 
 def line_chunks(text: str, goal: int = 200, hard: int = 800) -> list[tuple[str, int]]:
-    """Whole lines up to about ``goal`` characters with one line of overlap; a line over ``hard`` is cut."""
-    lines, at = [], 0
-    for line in text.split("\n"):
-        lines += [(line[k : k + hard], at + k) for k in range(0, max(len(line), 1), hard)]
-        at += len(line) + 1
+    """(chunk, offset): whole lines until ``goal`` characters are reached, the last line again in the next chunk; a line over ``hard`` stands alone, cut."""
+    lines = text.split("\n")
+    at = [0, *accumulate(len(x) + 1 for x in lines)]
     out, first = [], 0
     while first < len(lines):
-        last, size = first, len(lines[first][0])
-        while last + 1 < len(lines) and size + 1 + len(lines[last + 1][0]) <= goal:
-            last += 1
-            size += 1 + len(lines[last][0])
-        a, z = lines[first][1], lines[last][1] + len(lines[last][0])
-        if text[a:z].strip():
-            out.append((text[a:z], a))
-        if last + 1 >= len(lines):
-            break
-        first = last if last > first else last + 1
+        if len(lines[first]) > hard:
+            out += [(lines[first][k : k + hard], at[first] + k) for k in range(0, len(lines[first]), hard)]
+            first += 1
+            continue
+        end = next((k for k in range(first + 1, len(lines)) if len(lines[k]) > hard or at[k] - at[first] >= goal), len(lines))
+        out.append((text[at[first] : at[end] - 1], at[first]))
+        first = len(lines) if end == len(lines) else max(first + 1, end - 1)
     return out
 
 

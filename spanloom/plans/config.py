@@ -8,7 +8,11 @@ from dataclasses import dataclass, field, replace
 from spanloom.plans import catalogue
 
 DETECTORS = {"regex", "model", "checked", "address"}
+#: Names of detectors in configuration files, and what they are here. Fixed values.
+SPOKEN = {"gliner": ("model",), "both": ("regex", "model"), "presidio": ("checked",), "address_model": ("address",)}
 REGIONS = {"secrets", "global", "india", "usa", "uk", "meaning", "medical", "custom"}
+#: Entities that files call checked and that only a model can find. Fixed values.
+MODELLED = {"MEDICAL_DISEASE_DISORDER", "MEDICAL_MEDICATION", "MEDICAL_THERAPEUTIC_PROCEDURE", "MEDICAL_HISTORY", "MEDICAL_FAMILY_HISTORY"}
 SEVERITIES = {"low", "medium", "high", "critical"}
 STRATEGIES = {"consistent", "label", "mask", "hash"}
 
@@ -70,6 +74,11 @@ def _score(value, what: str) -> float:
     return float(value)
 
 
+def _bare(replacement: str | None) -> str | None:
+    """A replacement without the brackets that files put around it."""
+    return replacement.strip("[]") if replacement else None
+
+
 def entities_of(rows: list[dict]) -> dict[str, Entity]:
     out: dict[str, Entity] = {}
     for r in rows:
@@ -82,7 +91,8 @@ def entities_of(rows: list[dict]) -> dict[str, Entity]:
             raise ConfigError(f"{name} is there twice")
         if not r.get("description"):
             raise ConfigError(f"{name} has no description")
-        how = tuple(r.get("detect_with") or ())
+        how = [r["detect_with"]] if isinstance(r.get("detect_with"), str) else r.get("detect_with") or ()
+        how = tuple(dict.fromkeys(y for x in how for y in SPOKEN.get(x, (x,))))
         if not how or set(how) - DETECTORS:
             raise ConfigError(f"{name}: detect_with must name some of {sorted(DETECTORS)}")
         if r.get("severity", "medium") not in SEVERITIES:
@@ -90,7 +100,7 @@ def entities_of(rows: list[dict]) -> dict[str, Entity]:
         if r.get("region", "custom") not in REGIONS:
             raise ConfigError(f"{name}: unknown region")
         low = r.get("min_score")
-        out[name] = Entity(name, r["description"], how, r.get("region", "custom"), r.get("replacement"), None if low is None else _score(low, f"{name}: min_score"), r.get("severity", "medium"))
+        out[name] = Entity(name, r["description"], how, r.get("region", "custom"), _bare(r.get("replacement")), None if low is None else _score(low, f"{name}: min_score"), r.get("severity", "medium"))
     return out
 
 
@@ -146,15 +156,12 @@ def contexts_of(rules: dict[str, dict], entities: dict[str, Entity], need_defaul
             return out[name]
         r = rules[name]
         parent = resolve(r["inherits"], (*path, name)) if r.get("inherits") else None
-        regions = r.get("regions") or []
+        regions = [r["regions"]] if isinstance(r.get("regions"), str) else r.get("regions") or []
         if not isinstance(regions, list) or set(regions) - REGIONS:
             raise ConfigError(f"context {name}: bad regions")
-        seed = list(parent.entities) if parent else []
-        for region in regions:
-            found = [e.name for e in entities.values() if e.region == region]
-            if not found:
-                raise ConfigError(f"context {name}: no entity is in region {region}")
-            seed += [x for x in found if x not in seed]
+        seed = [e.name for e in entities.values() if e.region in regions] if regions else list(parent.entities) if parent else []
+        if regions and not seed:
+            raise ConfigError(f"context {name}: no entity is in regions {regions}")
         members = _members(name, r.get("entities") or [], seed)
         if not members:
             raise ConfigError(f"context {name} is empty")
@@ -199,7 +206,7 @@ def extend(base: Config, taxonomy: list[dict] = (), patterns: dict[str, list[dic
 
 
 def load(folder: str) -> Config:
-    """taxonomy.yaml, patterns.yaml and rules.yaml of a folder on the driver."""
+    """taxonomy.yaml (``entities``), patterns.yaml (lists by entity, also under ``patterns``) and rules.yaml (``contexts``) of a folder on the driver."""
     import yaml
 
     def read(name: str):
@@ -212,7 +219,11 @@ def load(folder: str) -> Config:
             raise ConfigError(f"{name}.yaml must hold a mapping")
         return got
 
-    return from_dicts(read("taxonomy").get("entities", []), read("patterns").get("patterns", {}), read("rules").get("contexts", {}))
+    said = read("patterns")
+    got = from_dicts(read("taxonomy").get("entities", []), said.get("patterns", said), read("rules").get("contexts", {}))
+    if missing := sorted(e.name for e in got.entities.values() if "checked" in e.detect_with and e.name not in {x[0] for x in catalogue.CHECKED} | MODELLED):
+        raise ConfigError(f"no checked format exists for {missing}")
+    return replace(got, checked=tuple(x for x in catalogue.CHECKED if x[0] in got.entities and "checked" in got.entities[x[0]].detect_with))
 
 
 def shipped() -> Config:
@@ -232,3 +243,21 @@ def active(config: Config, context: str, requested: list[str] | None = None) ->
 
 def models_needed(config: Config, entities: list[str]) -> set[str]:
     return {d for e in entities for d in config.entities[e].detect_with if d in ("model", "address")}
+
+
+def of_regions(config: Config, regions: list[str]) -> list[str]:
+    """All entities of some regions, whether or not a context has them."""
+    return [e.name for e in config.entities.values() if e.region in regions]
+
+
+def preferences(path: str) -> dict:
+    """``entities`` (None: not chosen) and ``ocr_langs`` of a YAML file on the driver; without the file both are unset."""
+    import os
+
+    import yaml
+
+    said = {}
+    if os.path.exists(path):
+        with open(path, encoding="utf-8") as f:
+            said = yaml.safe_load(f) or {}
+    return {"entities": said.get("entities"), "ocr_langs": list(said.get("ocr_langs") or [])}
