@@ -41,14 +41,16 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def stash(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """Write df to the shared work folder and read it back: cuts lineage, survives lost executors."""
+    """Write df to the shared work folder and read it back: cuts lineage, survives lost executors.
+
+    The session's setting for shuffle files is left on: it changes no result, and a query of another thread never
+    finds it switched back in the middle.
+    """
     spark, path = df.sparkSession, work_folder(df.sparkSession)
-    writer, before = df.write, spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        (writer.partitionBy(*by) if by else writer).parquet(path)
-    finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    if spark.conf.get(_CLEANUP, None) != "true":
+        spark.conf.set(_CLEANUP, "true")
+    writer = df.write
+    (writer.partitionBy(*by) if by else writer).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stashed_at = path
     return out
@@ -142,14 +144,16 @@ class Recent(dict):
         self[key] = got
 
 
-BITS = 1 << 20
+#: A filter's bitmap has eight bits an id, up to this many bits (1 MB in the plan).
+BITS = 1 << 23
 
 
-def maybe_in(ids: DataFrame, column: str, bits: int = BITS):
-    """A native filter that passes every value of ``ids[column]`` and few others: a bitmap of fixed size.
+def maybe_in(ids: DataFrame, column: str):
+    """A native filter that passes every value of ``ids[column]`` and few others: a bitmap sized by the count of ids.
 
-    It only saves shuffling rows that a following join would drop; a full bitmap passes all.
+    It only saves shuffling rows that a following join would drop; beyond some millions of ids it passes more and more.
     """
+    bits = min(BITS, 1 << max(12, (8 * ids.count()).bit_length()))
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(bits)).cast("int")
     at = slot(F.col(column))
     rows = ids.select((at / 64).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("bigint"), at % 64).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).collect()  # bits / 64 rows at most

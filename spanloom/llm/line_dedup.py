@@ -1,9 +1,10 @@
 """Line dedup by a deletion-neighbourhood join, in DataFrame functions only.
 
 Lines are compared by their words (A-Z lowered, ASCII blanks apart); the edit bound is one word put in, left out
-or replaced. A line of at least ``SHORTEST`` words is dropped when an earlier line - by (doc_id, line number) - is
-equal or within the bound; of each set of equal lines only the earliest can stay. ``least`` (by default the same
-number) is the words a line needs to be dropped as an equal one alone; the queries take 1, so only blank lines stay.
+or replaced in a line of at least ``SHORTEST`` words, none in a shorter one, where a word is a good part of the line. A
+line is dropped when an earlier line - by (doc_id, line number) - is equal or within the bound; of each set of equal
+lines only the earliest can stay. Lines under ``least`` words always stay (by default ``SHORTEST``; the queries take 1, so
+blank lines).
 
 Equal lines are found by a 128-bit hash. Of the distinct lines, those within the bound must share their first or
 last half with their partner (no pair is lost by this), so only lines with a shared half emit their variants:
@@ -13,7 +14,8 @@ without any pairs; a line equal to another's variant is linked to it. Links are
 
 Defined results: null or empty text has one empty line and stays as it is; rows with a null ``doc_id`` stay
 untouched and count for nothing; rows with the same ``doc_id`` are one document, so a line at the same place in
-both is no repeat; ties cannot occur beyond that; other input columns are kept; an empty table gives no rows.
+both is no repeat; ties cannot occur beyond that; other input columns are kept, whatever their names (the count has
+underscores added to its name until no input column has it); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import UPPER, maybe_in, stash, unstash
+from spanloom.llm.common import UPPER, fresh, maybe_in, stash, unstash
 
 SHORTEST = 5
 #: Word hashes are summed; this many bits keep the sum of a million words within a bigint.
@@ -128,23 +130,23 @@ def removed(docs: DataFrame, shortest: int = SHORTEST, least: int | None = None)
     again = stash(distinct.where("times > 1").select(*_KEY, "first", F.lit(False).alias("near")))
     unstash(distinct)
     near = _near(docs, able).select(*_KEY, F.lit(None).cast(again.schema["first"].dataType).alias("first"), F.lit(True).alias("near"))
-    verdict = again.union(near).groupBy(*_KEY).agg(F.max("first").alias("first"), F.max("near").alias("near"))
+    # written, so that both sides of the join come from an exchange of their own and a frequent line can be split
+    verdict = stash(again.union(near).groupBy(*_KEY).agg(F.max("first").alias("first"), F.max("near").alias("near")))
     met = read.select("doc_id", "line_no", *_KEY).join(verdict, _KEY)
     out = stash(met.where(F.col("near") | (_place() != F.col("first"))).select("doc_id", "line_no"))
-    unstash(read, again)
+    unstash(read, again, verdict)
     return out
 
 
-def drop_lines(docs: DataFrame, shortest: int = SHORTEST, least: int | None = None) -> DataFrame:
-    """The documents, all columns, with the repeated lines cut from ``text``, and the count ``lines_removed``."""
+def drop_lines(docs: DataFrame, shortest: int = SHORTEST, least: int | None = None, count: str = "lines_removed") -> DataFrame:
+    """The documents, all columns, with the repeated lines cut from ``text``, and how many as the last column (``count``, see above)."""
     lines = removed(docs, shortest, least)
-    gone = stash(lines.groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("gone_lines")))
+    gone = stash(lines.groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("lines")))
     unstash(lines)
+    count, key, held = (fresh(x, *docs.columns) for x in (count, "gone_id", "gone_lines"))
     touched = F.col("doc_id").isNotNull() & maybe_in(gone, "doc_id")(F.col("doc_id"))
-    own = [F.col(c) for c in docs.columns if c not in ("text", "lines_removed")]
-    marked = docs.withColumn("touched__", touched)
-    cut = marked.where("touched__").join(gone.withColumnRenamed("doc_id", "gone_id"), F.col("doc_id") == F.col("gone_id"), "left")
-    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("gone_lines"), i))
-    text = F.when(F.col("gone_lines").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    done = cut.select(*own, text.alias("text"), F.coalesce(F.size("gone_lines"), F.lit(0)).alias("lines_removed"))
-    return marked.where("not touched__").select(*own, "text", F.lit(0).alias("lines_removed")).unionByName(done).select(*[c for c in docs.columns if c != "lines_removed"], "lines_removed")
+    cut = docs.where(touched).join(gone.toDF(key, held), F.col("doc_id") == F.col(key), "left")
+    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col(held), i))
+    text = F.when(F.col(held).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    done = cut.withColumn("text", text).select(*docs.columns, F.coalesce(F.size(held), F.lit(0)).alias(count))
+    return docs.where(~touched).select(*docs.columns, F.lit(0).alias(count)).union(done)
