@@ -1,15 +1,17 @@
 """Quality by co-training: a text view and a page-metadata view teach each other.
 
-Each view has a logistic classifier. In every round each one scores every document outside the sample, and the
-``EXCHANGE`` it is surest of, for either label, join the other's training rows with that label. The two final
-logits are calibrated together on the labelled rows and score all documents.
+Each view has a logistic classifier. In every round each one scores every document outside the sample, and the ones
+it is surest of, for either label, join the other's training rows with that label, beside those of earlier rounds; of
+documents with equal features one joins. Their number grows with the corpus: a ``SHARE`` of it a round, view and label,
+between ``EXCHANGE`` and ``POOL``. The two final logits are calibrated together on the labelled rows that neither view was
+trained on (a fifth), and score all documents.
 
-The labelled rows that are learned from are bounded by ``SAMPLE`` (by hash order of their ids); candidates for
-the exchange are all documents, and whole texts are read.
+The labelled ids that are learned from are bounded by ``SAMPLE`` (by their hash order); candidates for the exchange
+are all documents, and whole texts are read.
 
 Defined results: null or empty text, and null source, language or length, have features of their own (zero or
 "none"); without labels of both kinds every score is the share of good labels, or 1.0 without any label, so
-nothing is rejected; of repeated labels the smallest counts; equal rows get equal scores; an empty table gives
+nothing is rejected; of repeated labels the smallest counts, of repeated documents with a label one; equal rows get equal scores; an empty table gives
 no rows; other input columns are ignored (a missing metadata column counts as null).
 """
 
@@ -22,10 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import stash
+from spanloom.llm.common import stash, unstash, without
 from spanloom.llm.logistic import fit, sigmoid
 
-SAMPLE, ROUNDS, EXCHANGE = 20_000, 3, 200
+SAMPLE, ROUNDS = 20_000, 3
+#: Documents that a view gives the other a round and label: a share of all, at least and at most so many.
+SHARE, EXCHANGE, POOL = 1 / 500, 200, 5_000
 #: A pseudo-label counts as this part of a given one.
 TRUST = 0.5
 _TEXT, _SOURCES, _LANGS = 16, 32, 8
@@ -98,21 +102,21 @@ def _sure(views, most: int):
     """Of a task's rows the surest of each view for each label; a global top-k follows."""
 
     def run(batches):
-        held: list[list] = [[] for _ in range(4)]
+        held: list[dict] = [{} for _ in range(4)]  # by features, so that equal documents are one
         for batch in batches:
             x, ids = _matrix(batch.column("x")), batch.column("doc_id").to_pylist()
+            order = np.array([-1 if i is None else i for i in ids])
             for v, part in enumerate((x[:, :_TEXT], x[:, _TEXT:])):
                 logit = views[v](part)
                 for label in (0, 1):
-                    lean = logit if label else -logit
-                    best = np.lexsort((np.array([-1 if i is None else i for i in ids]), -lean))[:most]
-                    kept = held[2 * v + label]
-                    kept += [(float(lean[i]), ids[i], x[i]) for i in best]
-                    kept.sort(key=lambda r: (-r[0], -1 if r[1] is None else r[1]))
-                    del kept[most:]
-        rows = [(k, *r) for k, kept in enumerate(held) for r in kept]
+                    lean, kept = logit if label else -logit, held[2 * v + label]
+                    for i in np.lexsort((order, -lean))[: 4 * most]:
+                        kept.setdefault(x[i].tobytes(), (float(lean[i]), ids[i]))
+                    if len(kept) > most:
+                        held[2 * v + label] = dict(sorted(kept.items(), key=lambda r: (-r[1][0], r[0]))[:most])
+        rows = [(k, *r, key) for k, kept in enumerate(held) for key, r in kept.items()]
         if rows:
-            yield pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.float64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.list_(pa.float64()))], names=["kind", "lean", "doc_id", "x"])
+            yield pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.float64()), pa.array([np.frombuffer(r[3]) for r in rows], pa.list_(pa.float64()))], names=["kind", "lean", "x"])
 
     return run
 
@@ -121,30 +125,38 @@ def train(feats: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int
     """The two views and their joint calibration, or a constant where labels tell nothing apart."""
     known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min(F.col("quality").cast("int")).alias("quality"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    got = feats.join(F.broadcast(known), "doc_id").toArrow()  # at most `sample` ids are sent, and so many rows come back
-    y = np.array(got.column("quality").to_pylist(), np.float64)
+    # at most `sample` ids are sent, and so many rows come back
+    got = feats.join(F.broadcast(known), "doc_id").groupBy("doc_id", "quality").agg(F.min("x").alias("x")).withColumn("apart", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(5)) == 0).toArrow()
+    y, apart = np.array(got.column("quality").to_pylist(), np.float64), np.array(got.column("apart").to_pylist(), bool)
     if not 0 < y.sum() < len(y):
         return float(y.mean()) if len(y) else 1.0
     x = _matrix(got.column("x"))
     order = np.lexsort(np.column_stack([x, y]).T)
-    x, y = x[order], y[order]
-    parts = (x[:, :_TEXT], x[:, _TEXT:])
-    given = [[parts[v], y, np.ones(len(y))] for v in (0, 1)]
+    x, y, apart = x[order], y[order], apart[order]
+    if not (0 < y[apart].sum() < apart.sum() and 0 < y[~apart].sum() < (~apart).sum()):
+        apart = np.zeros(len(y), bool)  # too few to keep some apart
+    seen, last = ~apart, apart if apart.any() else ~apart
+    most = max(exchange, min(POOL, int(SHARE * feats.count())))
     rest = feats.join(F.broadcast(known.select("doc_id")), "doc_id", "left_anti")
-    views = [fit(*g[:2], weight=g[2]) for g in given]
+
+    def taught(pools):
+        views = []
+        for v, part in enumerate((slice(0, _TEXT), slice(_TEXT, None))):
+            more = np.array([np.frombuffer(k) for k in pools[v]]).reshape(-1, _TEXT + _META)[:, part]
+            views.append(fit(np.vstack([x[seen][:, part], more]), np.concatenate([y[seen], list(pools[v].values())]), weight=np.concatenate([np.ones(seen.sum()), np.full(len(more), TRUST)])))
+        return views
+
+    pools: list[dict[bytes, int]] = [{}, {}]  # features to label, told by the other view
+    views = taught(pools)
     for _ in range(rounds):
-        sure = stash(rest.mapInArrow(_sure(views, exchange), "kind int, lean double, doc_id bigint, x array<double>"))
-        extra = [[], []]
+        sure = stash(rest.mapInArrow(_sure(views, most), "kind int, lean double, x array<double>").groupBy("kind", "x").agg(F.max("lean").alias("lean")))
         for v in (0, 1):
             for label in (0, 1):
-                rows = sure.where(F.col("kind") == 2 * v + label).orderBy(F.col("lean").desc(), "doc_id").limit(exchange).collect()
-                extra[1 - v] += [(np.array(r.x), label) for r in rows]
-        views = []
-        for v in (0, 1):
-            more = np.array([r[0] for r in extra[v]]).reshape(-1, _TEXT + _META)
-            more = more[:, :_TEXT] if v == 0 else more[:, _TEXT:]
-            views.append(fit(np.vstack([given[v][0], more]), np.concatenate([y, [r[1] for r in extra[v]]]), weight=np.concatenate([given[v][2], np.full(len(more), TRUST)])))
-    joint = fit(np.column_stack([views[0](parts[0]), views[1](parts[1])]), y)
+                for r in sure.where(F.col("kind") == 2 * v + label).orderBy(F.col("lean").desc(), "x").limit(most).collect():
+                    pools[1 - v][np.array(r.x, np.float64).tobytes()] = label
+        unstash(sure)
+        views = taught([dict(sorted(p.items())) for p in pools])
+    joint = fit(np.column_stack([views[0](x[last][:, :_TEXT]), views[1](x[last][:, _TEXT:])]), y[last])
     return views[0], views[1], joint
 
 
@@ -169,4 +181,4 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
     """The documents, all columns, without those scored under ``least``. Ids scored both ways (repeated ids) stay."""
     scored = score(docs, labels).where("doc_id is not null").groupBy("doc_id").agg(F.max("score").alias("top"))
-    return docs.join(scored.where(F.col("top") < least).select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    return without(docs, stash(scored.where(F.col("top") < least).select("doc_id")))
