@@ -6,8 +6,10 @@ digit count, checks, the word before), and a dynamic program over segments, boun
 boundaries and kinds jointly. Its segments of a kind are added where their posterior is at least ``SURE`` and
 no base span overlaps them; base spans always stay.
 
-The field is trained on at most ``SAMPLE`` stretches (by hash order of their documents' ids) with the base spans as
-labels; stretches are repeated with the country code of their phones cut, so that shape carries the kind.
+The field is trained on ``SAMPLE`` different stretches of at most ``MOST`` chunks, those with the smallest hashes in the whole
+corpus. Their base spans are labels; and as the base patterns leave out other public spellings of the same data, each
+stretch with a phone or a card is also learned with them spelt anew - without the country code, with brackets, points,
+hyphens or blanks between the groups -, so that the field finds what the patterns cannot.
 
 Defined results: null or empty text has no spans, counts 0 and the sha256 of nothing; repeated rows give repeated
 results; a null ``doc_id`` stays; an empty table gives no rows; other input columns are ignored.
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from spanloom.llm.common import docs_of
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE, DOCS, LONGEST, SURE, BUCKETS, EPOCHS = 3_000, 4_000, 6, 0.95, 1 << 13, 4
+SAMPLE, MOST, LONGEST, SURE, BUCKETS, EPOCHS = 3_000, 64, 6, 0.95, 1 << 13, 4
 OTHER = len(KINDS)
 
 _LOCAL = r"[A-Za-z0-9._%+-]"
@@ -111,7 +113,7 @@ def stretches(text: str):
 
 def shape(text: str) -> str:
     out = []
-    for c in text:
+    for c in text if len(text) < 256 else text[:128] + text[-128:]:
         k = "9" if c.isdigit() else "a" if c.isalpha() else " " if c.isspace() else c
         if not out or out[-1] != k or k not in "9a":
             out.append(k)
@@ -154,13 +156,7 @@ class Field:
         for end in range(1, len(chunks) + 1):
             for size in range(1, min(LONGEST, end) + 1):
                 a, b = chunks[end - size][0], chunks[end - 1][1]
-                if b - a <= 128:
-                    f = traits(text, a, b, size, before if end == size else text[chunks[end - size - 1][0] : chunks[end - size - 1][1]])
-                elif size > 1:
-                    continue
-                else:
-                    f = [zlib.crc32(b"long") % BUCKETS]
-                yield (end, size), f
+                yield (end, size), traits(text, a, b, size, before if end == size else text[chunks[end - size - 1][0] : chunks[end - size - 1][1]])
 
     def scores(self, cells):
         out = {}
@@ -226,6 +222,7 @@ class Field:
         """Stochastic gradient on the conditional log likelihood of the given segmentations."""
         ready = [(dict(self.lattice(t, c, b)), gold, len(c)) for t, c, b, gold in rows]
         order = np.random.RandomState(0)
+        keep = float(np.exp(-decay * len(ready)))
         for epoch in range(epochs):
             step = rate / (1 + epoch)
             for r in order.permutation(len(ready)).tolist():
@@ -241,7 +238,7 @@ class Field:
                     np.add.at(self.w[kind], cells[end, size], step)
                     self.next[before, kind] += 0.1 * step
                     before = kind
-            self.w *= 1 - decay * len(ready)
+            self.w *= keep
         return self
 
 
@@ -266,45 +263,74 @@ def gold_of(chunks, spans):
     return out
 
 
+#: Public spellings of ten digits of a phone and of sixteen of a card.
+_PHONES = ("({}) {}-{}", "({}){}-{}", "{}-{}-{}", "{}.{}.{}", "{} {} {}", "({}) {} {}")
+_CARDS = ("{}.{}.{}.{}", "{}  {}  {}  {}")
+
+
+def uncoded(kind: int, value: str) -> str | None:
+    """A phone without its country code."""
+    return re.sub(r"^\+[0-9]+ *", "", value) if kind == 3 else None
+
+
+def spelt(kind: int, value: str) -> str | None:
+    """Another spelling of a phone or a card, always the same one for the same value."""
+    d = _NOT_DIGIT.sub("", value)
+    pick = lambda ways: ways[zlib.crc32(d.encode()) % len(ways)]
+    if kind == 3 and len(d) >= 10:
+        return pick(_PHONES).format(d[-10:-7], d[-7:-4], d[-4:])
+    return pick(_CARDS).format(d[:4], d[4:8], d[8:12], d[12:]) if kind == 2 and len(d) == 16 else None
+
+
 def examples(text: str):
+    """Segmentations to learn of each stretch: as it is, with phones uncoded, and with phones and cards spelt anew."""
     spans = base_spans(text)
     for chunks, before in stretches(text):
-        gold = gold_of(chunks, [s for s in spans if s[1] < chunks[-1][1] and s[2] > chunks[0][0]])
+        a, z = chunks[0][0], chunks[-1][1]
+        own = sorted((s, e, kind) for kind, s, e in spans if s < z and e > a)
+        gold = gold_of(chunks, [(kind, s, e) for s, e, kind in own])
         if not gold:
             continue
         yield text, chunks, before[0], gold
-        if any(kind == 3 for *_, kind in gold):  # the same without the country code
-            cut = re.sub(r"\+[0-9]+[ ]*", "", text[chunks[0][0] : chunks[-1][1]])
-            pieces = [c.span() for c in _CHUNK.finditer(cut)]
-            short = gold_of(pieces, [(2, *m.span()) for m in _CARD.finditer(cut) if is_card(m[0])] + [(1, *m.span()) for m in _IP.finditer(cut) if is_ip(m[0])] + [(3, *m.span()) for m in re.finditer(r"\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}", cut)])
-            if short:
-                yield cut, pieces, before[0], short
+        for way in (uncoded, spelt):
+            out, at, moved = "", a, []
+            for s, e, kind in own:
+                new = way(kind, text[s:e]) or text[s:e]
+                out += text[at:s]
+                moved.append((kind, len(out), len(out) + len(new)))
+                out, at = out + new, e
+            out += text[at:z]
+            if own and out != text[a:z] and all(x[1] <= y[0] for x, y in zip(own, own[1:], strict=False)):
+                pieces = next(stretches(out), ([], ""))[0]
+                again = gold_of(pieces, moved)
+                if again:
+                    yield out, pieces, before[0], again
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Field:
-    """A field from a bounded sample: ``DOCS`` documents that hold digits or at signs, ``sample`` stretches."""
-    some = docs_of(docs).where(F.col("text").rlike("[0-9@]")).select("doc_id", "text").mapInArrow(_parts, "doc_id bigint, text string")
-    rows = some.orderBy(F.xxhash64("text"), "text").limit(DOCS).collect()
-    ready = [x for r in rows for x in examples(r.text)][:sample]
-    return Field().learn(ready)
-
-
-def _parts(batches):
-    """Only the surroundings of stretches are sent to the driver, at most 2,000 characters a document."""
-    for batch in batches:
-        ids, parts = [], []
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            some, size = [], 0
-            for chunks, _ in stretches(text):
-                piece = text[max(0, chunks[0][0] - 24) : chunks[-1][1] + 1]
-                if size + len(piece) > 2_000:
-                    break
-                some.append(piece)
-                size += len(piece)
-            if some:
-                ids.append(doc_id)
-                parts.append("\n".join(some))
-        yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(parts, pa.string())], names=["doc_id", "text"])
+    """A field from the ``sample`` different stretches with the smallest hashes."""
+    some = docs_of(docs).where(F.col("text").rlike("[0-9@]")).select("text").mapInArrow(_smallest(sample), "h bigint, text string")
+    rows = some.distinct().orderBy("h", "text").limit(sample).collect()
+    return Field().learn([x for r in rows for x in examples(r.text)])
+
+
+def _smallest(sample: int):
+    """A task's stretches (with the word before) of the smallest hashes, each once: as many as the sample at most."""
+
+    def run(batches):
+        held: dict[str, int] = {}
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                for chunks, _ in stretches(text):
+                    if len(chunks) <= MOST and chunks[-1][1] - chunks[0][0] <= 32 * MOST:
+                        piece = text[max(0, chunks[0][0] - 24) : chunks[-1][1] + 1]
+                        held[piece] = zlib.crc32(piece.encode("utf-8", "surrogatepass"))
+            if len(held) > 2 * sample:
+                held = dict(sorted(held.items(), key=lambda x: (x[1], x[0]))[:sample])
+        rows = sorted(held.items(), key=lambda x: (x[1], x[0]))[:sample]
+        yield pa.record_batch([pa.array([h for _, h in rows], pa.int64()), pa.array([t for t, _ in rows], pa.string())], names=["h", "text"])
+
+    return run
 
 
 def all_spans(text: str, field: Field, base=None, memo: dict | None = None) -> list[tuple[int, int, int]]:
