@@ -9,7 +9,9 @@ serve words that no training document has. Class transitions are counted anew wi
 
 A word's probability after a class mixes the class transition times the word's emission in its class with the
 corpus' smoothed unigram:  (c+1) * (m * P(class|class) / norm + (1-m) / (N+V+1)), norm being the sum of c+1 over the
-class and 1 for unseen words where the class has a group.  Every document starts and ends at the end token.
+class and 1 for unseen words where the class has a group.  Every document starts and ends at the end token. m is
+fitted to the training tokens, each left out of its own counts, by expectation maximisation over a histogram of how
+much likelier the class model makes a token than the unigram.
 
 The ``KNOWN`` most frequent words' counts and classes are sent to the tasks (a fixed bound); rarer words meet
 theirs in a join.
@@ -31,7 +33,9 @@ from pyspark.sql import functions as F
 
 from spanloom.llm.common import docs_of, fold, stash, unstash
 
-WORDS, ENDINGS, CLASSES, KNOWN, MIX, SWEEPS, FOLDS = 1024, 256, 64, 131_072, 0.95, 4, 7
+WORDS, ENDINGS, CLASSES, KNOWN, SWEEPS, FOLDS = 1024, 256, 64, 131_072, 4, 7
+#: Bins of the histogram, a bin a twentieth of a power of e.
+_BINS = 1_200
 END = WORDS + ENDINGS
 ITEMS = END + 1
 _FLUSH = 400_000
@@ -128,10 +132,11 @@ class Model:
         self.item = np.array([i if i < WORDS else ITEMS + i - WORDS for i in range(len(words))] + [END], np.int64)
         self.of = of
         self.kind = of[self.item]
-        self.flat = 1.0 / (n + v + 1)
+        self.flat, self.mix = 1.0 / (n + v + 1), 0.5
 
     def weigh(self, grid: np.ndarray, norm: np.ndarray) -> None:
         """Class transitions, and each class's sum of c+1."""
+        self.grid, self.norm = grid, norm
         self.step = (grid + 0.1) / (grid.sum(1, keepdims=True) + 0.1 * len(grid))
         self.each = 1 / np.maximum(norm, 1)
         self.emit = self.each[self.of]
@@ -158,7 +163,23 @@ class Model:
 
     def context(self, kind: np.ndarray) -> float:
         before = np.concatenate([[self.of[END]], kind[:-1]])
-        return float(np.log10(MIX * self.step[before, kind] * self.each[kind] + (1 - MIX) * self.flat).sum())
+        return float(np.log10(self.mix * self.step[before, kind] * self.each[kind] + (1 - self.mix) * self.flat).sum())
+
+    def ratios(self, kind: np.ndarray) -> np.ndarray:
+        """Bins of the training tokens: log of class model over unigram, each token left out of its counts."""
+        before = np.concatenate([[self.of[END]], kind[:-1]])
+        step = (np.maximum(self.grid[before, kind] - 1, 0) + 0.1) / (np.maximum(self.grid.sum(1)[before] - 1, 0) + 0.1 * len(self.grid))
+        # the counts' own part, c of c + 1, is the same on both sides
+        log = np.log(step / np.maximum(self.norm[kind] - 1, 1) / self.flat)
+        return np.clip(np.rint(log * 20) + _BINS // 2, 0, _BINS - 1).astype(np.int64)
+
+    def fit_mix(self, bins: np.ndarray, steps: int = 200) -> None:
+        if not bins.sum():
+            return
+        ratio, m = np.exp((np.arange(_BINS) - _BINS // 2) / 20), 0.5
+        for _ in range(steps):
+            m = float((bins * (m * ratio / (m * ratio + 1 - m))).sum() / bins.sum())
+        self.mix = min(max(m, 0.01), 0.99)
 
     def read(self, text: str):
         """Tokens, known ones, sum of log10(c+1) of listed words, sum of log10 of what the context gives, unlisted words."""
@@ -318,6 +339,19 @@ def _learn(docs: DataFrame) -> tuple[Model, DataFrame, DataFrame]:
     norm[of[END]] += ends + 1
     norm[np.unique(of[WORDS:END])] += 1  # where words go that were never met
     model.weigh(grid.reshape(CLASSES, CLASSES), norm)
+    weighed = spark.sparkContext.broadcast(model)
+
+    def ratios(batches):
+        m, table = weighed.value, np.zeros(_BINS, np.int64)
+        for batch in batches:
+            for at, far, _ in _rows(batch):
+                table += np.bincount(m.ratios(m.kinds(at, far)), minlength=_BINS)
+        yield from _table(table, "code")
+
+    bins = np.zeros(_BINS)
+    for r in read.where(~F.col("held_out")).select("at", "fall", "tail").mapInArrow(ratios, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).collect():
+        bins[r.code] = r.n
+    model.fit_mix(bins)
     tops = spark.createDataFrame(listed[: len(top)], "word binary, n bigint, kind int")
     return model, rest.union(tops), read
 
