@@ -20,7 +20,7 @@ def op2_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    done = line_dedup.drop_lines(docs, least=1)
+    done = line_dedup.drop_lines(docs, least=1)  # of two columns, so the count has its own name
     text = F.coalesce("text", F.lit(""))
     return done.select("doc_id", F.col("lines_removed").cast("bigint").alias("lines_removed"), F.char_length(text).cast("bigint").alias("n_chars_kept"), F.sha2(text, 256).alias("text_sha256"))
 
