@@ -20,7 +20,6 @@ are ordered by text; other input columns are ignored; an empty table gives no ro
 from __future__ import annotations
 
 import json
-import re
 import struct
 import unicodedata
 import zlib
@@ -37,7 +36,7 @@ END = 2
 #: Pairs that occur this often in a shard are replaced: Re-Pair's own bound, no pair is left twice.
 LEAST = 2
 #: A round replaces pairs up to this many times rarer than the top one.
-SPREAD = 256
+SPREAD = 1024
 SHARD, STEP = 1 << 20, 1024
 _CHUNKS = 1_000_000
 
@@ -210,9 +209,18 @@ class Shard:
         return got[skip : skip + stop - start]
 
 
-_MARK = "\x01"
-#: Between an ASCII letter or digit and a following ASCII mark (not an apostrophe) the tokenizer always splits.
-_SEAM = re.compile(r"(?<=[a-z0-9])(?=[!-&(-/:-@\[-`{-~])")
+_MARK = b"\x01"
+#: Bytes: blanks 0, a-z and 0-9 1, ASCII marks but the apostrophe 2, others 3. Between 1 and 2 the tokenizer always splits.
+_KIND = np.full(256, 3, np.uint8)
+_KIND[[10, 32]] = 0
+_KIND[[*range(48, 58), *range(97, 123)]] = 1
+_KIND[[*range(33, 39), *range(40, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = 2
+#: Chunks are told apart by sums of these numbers by byte, times a power by place.
+_NUMBERS, _BASE = np.random.RandomState(7).randint(1, 1 << 62, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1), 0x9E3779B97F4A7C15
+#: Bytes that are looked at together.
+_PART = 1 << 21
+
+
 #: What a tokenizer file must say for its chunks between blanks to be independent. Fixed values.
 _NORMAL = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
 _SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
@@ -222,9 +230,9 @@ class Chunks:
     """Ids, as bytes, of whole texts.
 
     Where the tokenizer's file folds blanks and case and splits at blanks, no rule reaches over a blank: a text goes in
-    chunks, each encoded once and remembered; chunks not met lately are encoded together, set apart by a mark, and
-    a chunk that holds the mark goes alone. Texts that hold a special token's string, and all texts of other
-    tokenizers, are encoded whole.
+    chunks, and each different one is encoded once and remembered. Chunks not met lately are encoded together, set
+    apart by a mark, and a chunk that holds the mark goes alone. Texts that hold a special token's string, and all
+    texts of other tokenizers, are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -237,50 +245,121 @@ class Chunks:
         self.apart = said.get("normalizer") == _NORMAL and steps[0].get("pattern") == {"Regex": _SPLIT} and steps[0].get("behavior") == "Removed"
         self.special = [x["content"] for x in said.get("added_tokens") or []]
         self.mark = self._alone(_MARK)
-        self.words, mark = None, (said.get("model") or {}).get("end_of_word_suffix")
-        if self.apart and mark:
+        self.words, suffix = None, (said.get("model") or {}).get("end_of_word_suffix")
+        if self.apart and suffix:
             self.words = Tokenizer.from_file(path)
             self.words.normalizer = normalizers.Sequence([])
             self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
             vocab = self.words.get_vocab()
             self.ends = np.zeros(max(vocab.values()) + 1, bool)
-            self.ends[[i for t, i in vocab.items() if t.endswith(mark)]] = True
+            self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
         self.memo = Recent(self._alone, _CHUNKS)
+        back = pow(_BASE, -1, 1 << 64)
+        self.powers, self.inverse = (np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(_PART, x, np.uint64)])) for x in (_BASE, back))
 
-    def _alone(self, chunk: str) -> bytes:
-        return np.array(self.tok.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+    def _alone(self, chunk: bytes) -> bytes:
+        return np.array(self.tok.encode(chunk.decode(), add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, chunks: set[str]) -> None:
+    def learn(self, chunks: list[bytes]) -> None:
         """Words of plain Latin letters in lower case need neither the file's folding nor its splitting, only blanks between them."""
         memo, old, plain, others = self.memo, self.memo.old, [], []
-        for x in chunks - memo.keys():
+        for x in chunks:
             if x in old:
                 memo.put(x, old[x])
             elif len(x) <= memo.longest:
-                if x.isalpha() and max(x) < "\u0180" and x == x.lower() and unicodedata.is_normalized("NFC", x):
+                if x.isalpha():  # ASCII letters, lowered already
                     plain.append(x)
-                elif x and _MARK not in x:
-                    others.append(x)
+                elif _MARK not in x:
+                    y = x.decode()
+                    (plain if y.isalpha() and max(y) < "\u0180" and y == y.lower() and unicodedata.is_normalized("NFC", y) else others).append(x)
         if plain and self.words is not None:
-            ids = np.array(self.words.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(self.words.encode_batch_fast([b" ".join(plain).decode()], add_special_tokens=False)[0].ids, "<u4")
             self._keep(plain, ids, np.flatnonzero(self.ends[ids]) + 1, 0)
         if others and len(self.mark) == 4:
-            ids = np.array(self.tok.encode_batch_fast([f" {_MARK} ".join(others)], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(self.tok.encode_batch_fast([(b" " + _MARK + b" ").join(others).decode()], add_special_tokens=False)[0].ids, "<u4")
             self._keep(others, ids, np.append(np.flatnonzero(ids == np.frombuffer(self.mark, "<u4")[0]), len(ids)), 1)
 
-    def _keep(self, chunks: list[str], ids: np.ndarray, ends: np.ndarray, between: int) -> None:
+    def _keep(self, chunks: list[bytes], ids: np.ndarray, ends: np.ndarray, between: int) -> None:
         raw, start = ids.tobytes(), 0
         for x, end in zip(chunks, (4 * ends).tolist(), strict=True):
             self.memo.put(x, raw[start:end])
             start = end + 4 * between
 
+    def _together(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of lower-cased texts that have ``_PART`` bytes together, with the blanks between them."""
+        raw = b"\n".join(texts)
+        b = np.frombuffer(raw, np.uint8)
+        kind = _KIND[b]
+        before, after = np.concatenate([[0], kind[:-1]]), np.concatenate([kind[1:], [0]])
+        starts = np.flatnonzero((kind > 0) & ((before == 0) | ((before == 1) & (kind == 2))))
+        ends = np.flatnonzero((kind > 0) & ((after == 0) | ((kind == 1) & (after == 2)))) + 1
+        if not len(starts):
+            return [b""] * len(texts)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_NUMBERS[b] * self.powers[: len(b)], dtype=np.uint64)])
+        code = (sums[ends] - sums[starts]) * self.inverse[starts] ^ (ends - starts).astype(np.uint64)
+        code ^= code >> np.uint64(29)
+        code *= np.uint64(0xBF58476D1CE4E5B9)
+        bits = np.uint64(max(len(code) - 1, 1).bit_length())
+        order = np.sort((code >> bits << bits) | np.arange(len(code), dtype=np.uint64))
+        at = (order & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+        # neighbours in this order are told apart by all bits, so that a group is one chunk
+        new = np.concatenate([[True], code[at[1:]] != code[at[:-1]]])
+        which = np.empty(len(code), np.int64)
+        which[at] = np.cumsum(new) - 1
+        first = at[new]
+        chunks = [raw[x:y] for x, y in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        got = list(map(self.memo.get, chunks))
+        new = [k for k, x in enumerate(got) if x is None]
+        self.learn([chunks[k] for k in new])
+        for k in new:
+            got[k] = self.memo[chunks[k]]
+        flat, size = np.frombuffer(b"".join(got), "<u4"), np.fromiter(map(len, got), np.int64, len(got)) // 4
+        place, n = np.cumsum(size) - size, size[which]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        ids = flat[np.repeat(place[which] - upto[:-1], n) + np.arange(upto[-1])]
+        edges = np.cumsum([0] + [len(x) + 1 for x in texts])
+        cuts = upto[np.searchsorted(starts, edges)].tolist()
+        return [ids[x:y].tobytes() for x, y in zip(cuts, cuts[1:], strict=False)]
+
+    def _pieces(self, text: bytes):
+        """A text in parts that end at blanks; a longer run without a blank stays whole."""
+        while len(text) > _PART // 2:
+            cut = max(text.rfind(b" ", 0, _PART // 2), text.rfind(b"\n", 0, _PART // 2))
+            if cut < 0:
+                cut = min((x for x in (text.find(b" "), text.find(b"\n")) if x >= 0), default=len(text))
+            yield text[:cut]
+            text = text[cut + 1 :]
+        yield text
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        end, get = struct.pack("<I", END), self.memo.__getitem__
-        whole = [not self.apart or any(s in x for s in self.special) for x in texts]
-        # lower-casing A-Z and blanks at seams change no id, but let more chunks be met again
-        split = [[] if w else _SEAM.sub(" ", x.encode().lower().decode().replace("\n", " ")).split(" ") for w, x in zip(whole, texts, strict=True)]
-        self.learn(set().union(*split))
-        return [(self._alone(x) if w else b"".join(map(get, s))) + end for w, x, s in zip(whole, texts, split, strict=True)]
+        end = struct.pack("<I", END)
+        out: list[list[bytes]] = [[] for _ in texts]
+        held, owners, size = [], [], 0
+
+        def flush():
+            nonlocal held, owners, size
+            for k, ids in zip(owners, self._together(held), strict=True):
+                out[k].append(ids)
+            held, owners, size = [], [], 0
+
+        for k, x in enumerate(texts):
+            if not self.apart or any(s in x for s in self.special):
+                out[k].append(self._alone(x.encode()))
+                continue
+            for part in self._pieces(x.encode().lower()):  # lower-casing A-Z changes no id, but lets more chunks be met again
+                if len(part) > _PART // 2:
+                    out[k].append(self._alone(part))
+                    continue
+                if size + len(part) + 1 > _PART:
+                    flush()
+                held.append(part)
+                owners.append(k)
+                size += len(part) + 1
+            if len(out[k]) or size > _PART // 2:
+                flush()
+        if held:
+            flush()
+        return [b"".join(x) + end for x in out]
 
 
 _held: dict[str, Chunks] = {}
