@@ -6,9 +6,10 @@ no border outside its own phrase; a section is a run of paragraphs up to one who
 the sha256 of its text, a paragraph's node the sha256 over its leaves, a section's node over its paragraphs, and the
 root over the sections and the text's length. Equal roots mean equal texts; unequal nodes locate edits.
 
-A fingerprint is the root and then the tree, cut to what tells texts apart: ``root:section/section...``, a section being
-``node(paragraph.paragraph...)``, a paragraph ``node`` and its leaves; nodes of sections and paragraphs are the first 16
-and leaves the first 8 hexadecimal digits. ``likeness`` and ``differing`` take two fingerprints and nothing else.
+A fingerprint is ``root:leaves:nodes``. The leaves are told by the first 8 hexadecimal digits of their hashes, with
+commas between those of a paragraph, points between paragraphs and slashes between sections; the nodes of sections
+and their paragraphs by 16 digits, a section's first, with the same points and slashes. ``likeness`` and ``differing`` take
+two fingerprints and nothing else.
 
 The next document by ``doc_id`` is found without a global sort in one task: documents are dealt into ranges
 of ``doc_id`` - an id with many rows, or none, into several by the hash of the text -, the first document of each range is
@@ -32,59 +33,60 @@ GROUP = 4
 #: Ranges of doc_id: a multiple of the shuffle partitions, so that several ranges share a task and even out.
 RANGES_A_TASK = 4
 _PARAGRAPH = r"(?<=\n)(?!\n|\z)"
-_PHRASE = r"(?<=(?:[\p{L}\p{N}]{8}|[^\p{L}\p{N}\s]) )(?=\S)"
+_PHRASE = r"(?<= )(?=\S)(?<=[^\p{L}\p{N}\s] |[\p{L}\p{N}]{8} )"
 _TREE = "array<struct<node:string,paragraphs:array<struct<node:string,leaves:array<string>>>>>"
+#: Last digits of nodes that are divisible by GROUP.
+_LAST = [f"{k:x}" for k in range(0, 16, GROUP)]
+
+
+def _once(value: Column, f) -> Column:
+    return F.get(F.transform(F.array(value), f), 0)
 
 
 def _over(nodes: Column) -> Column:
     return F.sha2(F.array_join(nodes, ""), 256)
 
 
-def tree(text: Column) -> Column:
-    """``array<struct<node, paragraphs: array<struct<node, leaves>>>>`` with whole hashes; every level is built once."""
-    once = lambda value, f: F.get(F.transform(F.array(value), f), 0)
-    leaves = lambda p: F.transform(F.split(p, _PHRASE), lambda x: F.sha2(x, 256))
-    paragraph = lambda p: once(leaves(p), lambda own: F.struct(_over(own).alias("node"), own.alias("leaves")))
-    divisible = lambda p: F.conv(F.right(p.node, F.lit(1)), 16, 10).cast("int") % GROUP == 0
+def _short(hashes: Column, n: int) -> Column:
+    return F.transform(hashes, lambda x: F.left(x, F.lit(n)))
 
-    def sections(ps):
-        ends = F.filter(F.sequence(F.lit(1), F.size(ps)), lambda k: (k == F.size(ps)) | divisible(F.get(ps, k - 1)))
-        return once(ends, lambda e: F.transform(e, lambda end, k: once(F.coalesce(F.get(e, k - 1), F.lit(0)), lambda start: F.slice(ps, start + 1, end - start))))
 
-    cut = once(F.transform(F.split(F.coalesce(text, F.lit("")), _PARAGRAPH), paragraph), sections)
-    return F.transform(cut, lambda ps: F.struct(_over(F.transform(ps, lambda p: p.node)).alias("node"), ps.alias("paragraphs")))
+def fingerprint(text: Column) -> Column:
+    text = F.coalesce(text, F.lit(""))
+    hashed = lambda p: F.transform(F.split(p, _PHRASE), lambda x: F.sha2(x, 256))
+    paragraph = lambda p: _once(hashed(p), lambda own: F.struct(_over(own).alias("node"), F.array_join(_short(own, 8), ",").alias("told")))
 
+    def sections(ps):
+        ends = F.filter(F.sequence(F.lit(1), F.size(ps)), lambda k: (k == F.size(ps)) | F.right(F.get(ps, k - 1).node, F.lit(1)).isin(*_LAST))
+        return _once(ends, lambda e: F.transform(e, lambda end, k: _once(F.coalesce(F.get(e, k - 1), F.lit(0)), lambda start: section(F.slice(ps, start + 1, end - start)))))
 
-def root(tree_: Column, n_chars: Column) -> Column:
-    return F.sha2(F.concat(F.array_join(F.transform(tree_, lambda s: s.node), ""), F.lit(":"), n_chars.cast("string")), 256)
+    def section(own):
+        nodes = F.transform(own, lambda p: p.node)
+        return _once(nodes, lambda n: _once(_over(n), lambda node: F.struct(node.alias("node"), F.array_join(F.transform(own, lambda p: p.told), ".").alias("told"), F.concat(F.left(node, F.lit(16)), F.lit("."), F.array_join(_short(n, 16), ".")).alias("nodes"))))
 
+    def whole(t):
+        root = F.sha2(F.concat(F.array_join(F.transform(t, lambda s: s.node), ""), F.lit(":"), F.char_length(text).cast("string")), 256)
+        return F.concat_ws(":", root, F.array_join(F.transform(t, lambda s: s.told), "/"), F.array_join(F.transform(t, lambda s: s.nodes), "/"))
 
-def fingerprint(text: Column) -> Column:
-    said = lambda p: F.concat(F.left(p.node, F.lit(16)), F.array_join(F.transform(p.leaves, lambda x: F.left(x, F.lit(8))), ""))
-    section = lambda s: F.concat(F.left(s.node, F.lit(16)), F.lit("("), F.array_join(F.transform(s.paragraphs, said), "."), F.lit(")"))
-    whole = lambda t: F.concat(root(t, F.char_length(F.coalesce(text, F.lit("")))), F.lit(":"), F.array_join(F.transform(t, section), "/"))
-    return F.get(F.transform(F.array(tree(text)), whole), 0)
+    return _once(_once(F.transform(F.split(text, _PARAGRAPH), paragraph), sections), whole)
 
 
 def parsed(print_: Column) -> Column:
     """The tree that a fingerprint tells."""
-    eights = lambda x: F.regexp_extract_all(x, F.lit("[0-9a-f]{8}"), F.lit(0))
-    paragraph = lambda p: F.struct(F.left(p, F.lit(16)).alias("node"), eights(F.substring(p, 17, 1 << 30)).alias("leaves"))
-    section = lambda s: F.struct(F.left(s, F.lit(16)).alias("node"), F.transform(F.split(F.regexp_replace(F.substring(s, 18, 1 << 30), r"\)$", ""), r"\."), paragraph).alias("paragraphs"))
-    return F.transform(F.split(F.substring(print_, 66, 1 << 30), "/"), section).cast(_TREE)
+    paragraph = lambda p, n: F.struct(n.alias("node"), F.split(p, ",").alias("leaves"))
+    section = lambda s, n: _once(F.split(n, r"\."), lambda nodes: F.struct(F.get(nodes, 0).alias("node"), F.zip_with(F.split(s, r"\."), F.slice(nodes, 2, F.size(nodes) - 1), paragraph).alias("paragraphs")))
+    return _once(F.split(print_, ":"), lambda x: F.zip_with(F.split(F.get(x, 1), "/"), F.split(F.get(x, 2), "/"), section)).cast(_TREE)
 
 
 def leaves_of(print_: Column) -> Column:
-    """All leaves that a fingerprint tells, in order: what is left without root and nodes."""
-    bare = F.regexp_replace(F.substring(print_, 66, 1 << 30), r"(?:/?[0-9a-f]{16}\(|\.)[0-9a-f]{16}|\)", "")
-    # a section's node is followed by its first paragraph's, any other paragraph's by a point
-    return F.regexp_extract_all(F.regexp_replace(bare, r"\(", ""), F.lit("[0-9a-f]{8}"), F.lit(0))
+    """All leaves that a fingerprint tells, in order."""
+    return F.split(F.translate(F.split_part(print_, F.lit(":"), F.lit(2)), "./", ",,"), ",")
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Jaccard index of the distinct leaves that two fingerprints tell, 0 to 1."""
-    both = F.struct(leaves_of(a).alias("a"), leaves_of(b).alias("b"))
-    return F.get(F.transform(F.array(both), lambda x: F.size(F.array_intersect(x.a, x.b)) / F.size(F.array_union(x.a, x.b))), 0)
+    both = F.struct(F.array_distinct(leaves_of(a)).alias("a"), F.array_distinct(leaves_of(b)).alias("b"))
+    return _once(both, lambda x: _once(F.size(F.array_intersect(x.a, x.b)), lambda n: n / (F.size(x.a) + F.size(x.b) - n)))
 
 
 def _ends(a: Column, b: Column) -> Column:
@@ -102,7 +104,7 @@ def differing(a: Column, b: Column) -> Column:
     (in a), and the last leaf of it in a and in b (one before ``leaf`` where nothing stands against what the other has).
     Null if the roots are equal.
     """
-    once = lambda value, f: F.get(F.transform(F.array(value), f), 0)
+    once = _once
     inner = lambda x, e: F.slice(x, e.front + 1, F.size(x) - e.front - e.back)
     nodes = lambda x: F.transform(x, lambda s: s.node)
     count = lambda x: F.aggregate(x, F.lit(0), lambda s, p: s + F.size(p.leaves))
@@ -152,9 +154,9 @@ def _bucket(key: Column, h: Column, edges: list[tuple[int, int]]) -> Column:
     return F.when(row == 0, 0).otherwise((row - 1) * width + F.size(F.filter(F.get(table, row - 1), under)))
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """``doc_id, text, next_text``: each row with the text of the next one by doc_id, the last one with the first one's."""
-    spark = docs.sparkSession
+def with_next(docs: DataFrame, **made) -> DataFrame:
+    """``doc_id, text`` and what is ``made`` of the text (name=function), and the same of the next row by doc_id as ``next_text`` ...; the last one's next is the first one."""
+    spark, own = docs.sparkSession, ["text", *made]
     docs = docs_of(docs).withColumn("h", F.xxhash64("text"))
     n = RANGES_A_TASK * int(spark.conf.get("spark.sql.shuffle.partitions"))
     got = docs.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)] or [0.5], 20 * n).alias("e"), F.count_if(F.col("doc_id").isNull()).alias("null"), F.count("*").alias("all")).first()
@@ -164,15 +166,16 @@ def with_next(docs: DataFrame) -> DataFrame:
     first = F.min(F.struct(_key(F.col("doc_id")).alias("key"), "h")).alias("first")
     firsts = sorted(placed.groupBy("range").agg(first).collect(), key=lambda r: r["range"])
     if not firsts:
-        return docs.select("doc_id", "text", F.lit(None).cast("string").alias("next_text"))
+        return docs.select("doc_id", *own, *(F.lit(None).cast("string").alias(f"next_{c}") for c in own))
     targets = [(r["range"], r["first"].key, r["first"].h, firsts[k - 1]["range"]) for k, r in enumerate(firsts)]
     told = spark.createDataFrame(targets, "range int, first_key decimal(20,0), first_h bigint, target int")
     heads = placed.join(F.broadcast(told), "range").where((_key(F.col("doc_id")) == F.col("first_key")) & (F.col("h") == F.col("first_h")))
     # rows that share the first place: one will do, the first by text
-    heads = heads.groupBy("target").agg(F.min_by(F.struct("doc_id", "text", "h"), "text").alias("x")).select("x.doc_id", "x.text", "x.h", "target", F.lit(1).alias("tail"))
+    heads = heads.groupBy("target").agg(F.min_by(F.struct("doc_id", "text", "h"), "text").alias("x")).select("x.*", "target", F.lit(1).alias("tail"))
     both = placed.select("doc_id", "text", "h", "range", F.lit(0).alias("tail")).union(heads)
+    both = both.withColumns({c: f(F.col("text")) for c, f in made.items()}) if made else both
     order = Window.partitionBy("range").orderBy("tail", F.col("doc_id").asc_nulls_first(), "h", "text")
-    return both.withColumn("next_text", F.lead("text").over(order)).where("tail = 0").select("doc_id", "text", "next_text")
+    return both.withColumns({f"next_{c}": F.lead(c).over(order) for c in own}).where("tail = 0").select("doc_id", *own, *(f"next_{c}" for c in own))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -182,8 +185,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 def compared(docs: DataFrame) -> DataFrame:
     """Every row's fingerprint, its edited text's, their likeness, that to the next text's, and where the edit begins; the edit is the contract's, see the query."""
-    d = with_next(docs).withColumn("n_chars", F.char_length("text").cast("bigint")).withColumn("cut", F.expr("cast(n_chars div 4 as int)"))
+    d = with_next(docs, own=fingerprint).withColumn("n_chars", F.char_length("text").cast("bigint")).withColumn("cut", F.expr("cast(n_chars div 4 as int)"))
     d = d.withColumn("edited", F.expr("concat(left(text, cast(n_chars - cut as int)), left(next_text, cut))"))
-    prints = F.array(*[F.struct(fingerprint(F.col("text")).alias("own"), fingerprint(F.col("edited")).alias("edited"), fingerprint(F.col("next_text")).alias("next"))])
+    prints = F.array(F.struct("own", fingerprint(F.col("edited")).alias("edited"), F.col("next_own").alias("next")))
     d = d.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.explode(prints).alias("p"))  # bound once: what follows reads them often
-    return d.select("doc_id", "n_chars", "edited_sha256", F.col("p.own").alias("fingerprint"), F.col("p.edited").alias("edited_fingerprint"), likeness(F.col("p.own"), F.col("p.edited")).alias("near_edited"), likeness(F.col("p.own"), F.col("p.next")).alias("near_next"), differing(F.col("p.own"), F.col("p.edited")).alias("edit")).select("*", "edit.paragraph", "edit.leaf").drop("edit")
+    told = F.array(F.struct(likeness(F.col("p.own"), F.col("p.edited")).alias("near_edited"), likeness(F.col("p.own"), F.col("p.next")).alias("near_next"), differing(F.col("p.own"), F.col("p.edited")).alias("edit")))
+    d = d.select("doc_id", "n_chars", "edited_sha256", F.col("p.own").alias("fingerprint"), F.col("p.edited").alias("edited_fingerprint"), F.explode(told).alias("t"))
+    return d.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "t.near_edited", "t.near_next", "t.edit.paragraph", "t.edit.leaf")

@@ -204,7 +204,8 @@ def brute_tree(text):
 
 def brute_print(text):
     tree, root = brute_tree(text)
-    return root + ":" + "/".join(f"{n[:16]}(" + ".".join(p[:16] + "".join(x[:8] for x in leaves) for p, leaves in s) + ")" for n, s in tree)
+    leaves = "/".join(".".join(",".join(x[:8] for x in own) for _, own in s) for _, s in tree)
+    return f"{root}:{leaves}:" + "/".join(".".join([n[:16], *(p[:16] for p, _ in s)]) for n, s in tree)
 
 
 def brute_likeness(a, b):
