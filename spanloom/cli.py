@@ -1,4 +1,4 @@
-"""Command line: ``python -m spanloom.cli check | text | file | eval``."""
+"""Command line: ``python -m spanloom.cli check | text | file | eval | serve``."""
 
 from __future__ import annotations
 
@@ -76,6 +76,13 @@ def _file(args, config: Config) -> int:
     return 0
 
 
+def _serve(args, config: Config) -> int:
+    from spanloom.streaming.helper import serve
+
+    serve(session(), config, sys.stdin, lambda x: print(x, flush=True))
+    return 0
+
+
 def _eval(args, config: Config) -> int:
     from pyspark.sql import functions as F
 
@@ -96,10 +103,10 @@ def main(argv: list[str] | None = None) -> int:
     top.add_argument("--preferences", default=os.path.join(HOME, "preferences.yaml"))
     top.add_argument("--identity", default=os.path.join(HOME, "identity.yaml"))
     parts = top.add_subparsers(dest="command", required=True)
-    for name, run in (("check", _check), ("text", _text), ("file", _file), ("eval", _eval)):
+    for name, run in (("check", _check), ("text", _text), ("file", _file), ("eval", _eval), ("serve", _serve)):
         p = parts.add_parser(name)
         p.set_defaults(run=run)
-        if name != "check":
+        if name in ("text", "file", "eval"):
             p.add_argument("--context")
             p.add_argument("--entities", help="names, with commas")
         if name in ("text", "file"):

@@ -1,6 +1,7 @@
 import hashlib
 import hmac
 import io
+import json
 import struct
 import types
 
@@ -130,3 +131,18 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     (tmp_path / "l.jsonl").write_text('{"text": "mail a@x.com", "spans": [{"entity": "EMAIL", "start": 5, "end": 12}]}\n')
     assert cli.main(["eval", "--context", "default", str(tmp_path)]) == 0 and "| EMAIL | 1 | 0 | 0 |" in capsys.readouterr().out
     assert cli.main(["file", "--context", "default", str(tmp_path / "none.txt")]) == 1 and not (tmp_path / "none.redacted.txt").exists()
+
+
+def test_requests(spark, tmp_path):
+    from spanloom.streaming import helper
+
+    (tmp_path / "a.txt").write_text("mail a@x.com, Asha Rao")
+    (tmp_path / "b.bin").write_bytes(b"\0\1")
+    ask = lambda **x: json.dumps({"id": "1", "op": "redact", "input": str(tmp_path / "a.txt"), "output": str(tmp_path / "out.txt")} | x)
+    said = []
+    helper.serve(spark, CONFIG, ["", "{", "[]", ask(op="status"), ask(categories=["global"], extra_terms=["asha rao"]), ask(), ask(force=True, categories=["secrets"]), ask(input=str(tmp_path / "no")), ask(input=str(tmp_path / "b.bin")), ask(input=None), ask(op="quit"), ask()], lambda x: said.append(json.loads(x)))
+    told = [(x["event"], x.get("kind") or x.get("stage")) for x in said]
+    steps = [("stage", "reading"), ("stage", "hiding")]
+    assert told == [("ready", None), ("error", "request"), ("error", "request"), ("status", None), *steps, ("done", "text"), *steps, ("error", "exists"), *steps, ("done", "text"), ("error", "missing"), ("error", "unsupported"), ("error", "request")]
+    assert said[6]["counts"] == {"EMAIL": 1, "PERSON": 1} and said[11]["counts"] == {}
+    assert (tmp_path / "out.txt").read_text() == "mail a@x.com, Asha Rao"
