@@ -166,7 +166,7 @@ def with_next(docs: DataFrame, **made) -> DataFrame:
     first = F.min(F.struct(_key(F.col("doc_id")).alias("key"), "h")).alias("first")
     firsts = sorted(placed.groupBy("range").agg(first).collect(), key=lambda r: r["range"])
     if not firsts:
-        return docs.select("doc_id", *own, *(F.lit(None).cast("string").alias(f"next_{c}") for c in own))
+        return docs.select("doc_id", "text", *(F.lit(None).cast("string").alias(c) for c in [*made, *(f"next_{c}" for c in own)]))
     targets = [(r["range"], r["first"].key, r["first"].h, firsts[k - 1]["range"]) for k, r in enumerate(firsts)]
     told = spark.createDataFrame(targets, "range int, first_key decimal(20,0), first_h bigint, target int")
     heads = placed.join(F.broadcast(told), "range").where((_key(F.col("doc_id")) == F.col("first_key")) & (F.col("h") == F.col("first_h")))
