@@ -144,5 +144,5 @@ def test_requests(spark, tmp_path):
     told = [(x["event"], x.get("kind") or x.get("stage")) for x in said]
     steps = [("stage", "reading"), ("stage", "hiding")]
     assert told == [("ready", None), ("error", "request"), ("error", "request"), ("status", None), *steps, ("done", "text"), *steps, ("error", "exists"), *steps, ("done", "text"), ("error", "missing"), ("error", "unsupported"), ("error", "request")]
-    assert said[6]["counts"] == {"EMAIL": 1, "PERSON": 1} and said[11]["counts"] == {}
+    assert said[6]["counts"] == {"EMAIL": 1, "PERSON": 1} and said[12]["counts"] == {}
     assert (tmp_path / "out.txt").read_text() == "mail a@x.com, Asha Rao"
