@@ -15,14 +15,18 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from itertools import islice
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from spanloom.llm.common import Recent, docs_of
+from spanloom.llm.common import Recent, docs_of, small
 
-CACHE = 500_000
+#: Pieces of text that a worker remembers, and pairs of tokens of which it knows whether they may stand side by side.
+CACHE, PAIRS = 300_000, 400_000
+#: Code points of a text that is split at once, and pieces of a longer one that are held at a time.
+LONG, RUN = 1 << 18, 1 << 16
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -30,82 +34,98 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+class Rows(dict):
+    def __missing__(self, key):
+        self[key] = row = {}
+        return row
+
+
 class PrefixBPE:
+    """Tokens go by their ranks; only ``ranks`` and ``bytes_of`` hold their bytes, once."""
+
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks: dict[bytes, int] = {}  # grows below: a token is split by the merges that come before it
         self.bytes_of = {r: b for b, r in ranks.items()}
         self.longest = max(map(len, ranks))
-        #: token -> its exposed right and left edges, each (bytes, rank of the merge that hides it)
-        self.right: dict[bytes, list[tuple[bytes, float]]] = {}
-        self.left: dict[bytes, list[tuple[bytes, float]]] = {}
-        self.fits: dict[tuple[bytes, bytes], bool] = {}
-        self.usable = {token for token in ranks if len(token) == 1}
-        for token in self.usable:
-            self.right[token], self.left[token] = [(token, float("inf"))], [(token, float("inf"))]
+        #: token -> its right and left edges below itself, each (bytes, rank of the merge that hides it, the edges below)
+        self.right: dict[int, tuple | None] = dict.fromkeys(ranks.values())
+        self.left: dict[int, tuple | None] = dict.fromkeys(ranks.values())
+        #: token -> those whose standing after it is known
+        self.fits, self.known = Rows(), 0
+        self.usable = {token: rank for token, rank in ranks.items() if len(token) == 1}
+        #: last three bytes -> lengths of the usable tokens that end so, the longest first, then 2 and 1
+        self.lengths: dict[bytes, tuple[int, ...]] = {}
         for token, rank in sorted(ranks.items(), key=lambda x: x[1]):
             parts = self._two_parts(token) if len(token) > 1 else None
             self.fits.clear()
-            self.ranks[token] = rank
+            self.known, self.ranks[token] = 0, rank
             if parts is None:
                 continue  # no merges lead to it; it is only found as a whole piece
             a, b = parts
-            self.usable.add(token)
-            self.right[token] = [(token, float("inf")), (b, rank), *self.right[b][1:]]
-            self.left[token] = [(token, float("inf")), (a, rank), *self.left[a][1:]]
+            self.usable[token] = rank
+            self.right[rank], self.left[rank] = (self.bytes_of[b], rank, self.right[b]), (self.bytes_of[a], rank, self.left[a])
+            known = self.lengths.get(token[-3:], (2, 1))
+            if len(token) not in known:
+                self.lengths[token[-3:]] = tuple(sorted((*known, len(token)), reverse=True))
 
     def _two_parts(self, token: bytes):
         """The two tokens that the last merge joins into this one, encoding it by shorter tokens first."""
-        found = self.chain(token, len(token) - 1)
+        found = self.chain(token)
         if found is None:
             return None
         end, out = len(token), []
         while end:
             out.append(found[end])
-            end -= len(found[end])
+            end -= len(self.bytes_of[found[end]])
         return (out[1], out[0]) if len(out) == 2 else None
 
-    def beside(self, a: bytes, b: bytes) -> bool:
-        key = (a, b)
-        known = self.fits.get(key)
+    def beside(self, a: int, b: int) -> bool:
+        known = self.fits[a].get(b)
         if known is None:
-            known = True
-            for x, hides_x in self.right[a]:
-                for y, hides_y in self.left[b]:
-                    merge = self.ranks.get(x + y)
+            known, merges = True, self.ranks.get
+            right = (self.bytes_of[a], float("inf"), self.right[a])
+            while right and known:
+                x, hides_x, right = right
+                left = (self.bytes_of[b], float("inf"), self.left[b])
+                while left:
+                    y, hides_y, left = left
+                    merge = merges(x + y)
                     if merge is not None and hides_x > merge and hides_y >= merge:  # of equal merges the left one comes first
                         known = False
                         break
-                if not known:
-                    break
-            if len(self.fits) > 2 * CACHE:
+            self.known += 1
+            if self.known > PAIRS:
                 self.fits.clear()
-            self.fits[key] = known
+                self.known = 1
+            self.fits[a][b] = known
         return known
 
-    def chain(self, piece: bytes, most: int | None = None, last: list | None = None):
+    def chain(self, piece: bytes, last: list | None = None):
         """Each prefix's last token, index 0 unused; ``last`` continues a chain that already holds a start."""
-        last = last if last is not None else [b""]
-        most = min(most or self.longest, self.longest)
-        usable, known = self.usable, self.fits.get
+        last = last if last is not None else [-1]
+        usable, lengths, fits = self.usable, self.lengths.get, self.fits
         for end in range(len(last), len(piece) + 1):
-            for start in range(max(0, end - most), end):
-                token = piece[start:end]
-                if token in usable:
-                    if not start:
-                        break
-                    fits = known((last[start], token))
-                    if fits or fits is None and self.beside(last[start], token):
-                        break
+            for size in lengths(piece[end - 3 : end] if end > 2 else piece[:end], (2, 1)):
+                if size < end:
+                    token = piece[end - size : end]
+                    if token in usable:
+                        rank, before = usable[token], last[end - size]
+                        known = fits[before].get(rank)
+                        if known or known is None and self.beside(before, rank):
+                            last.append(rank)
+                            break
+                elif size == end and (token := piece[:end]) in usable:
+                    last.append(usable[token])
+                    break
             else:
                 return None
-            last.append(token)
         return last
 
     def walk(self, last: list) -> list[int]:
         end, out = len(last) - 1, []
         while end > 0:
-            out.append(self.ranks[last[end]])
-            end -= len(last[end])
+            out.append(last[end])
+            end -= len(self.bytes_of[last[end]])
         return out[::-1]
 
     def encode_piece(self, piece: bytes) -> list[int]:
@@ -153,13 +173,8 @@ class Editable:
 
 
 def _pieces(bpe: PrefixBPE) -> Recent:
-    """Piece of text to (decimal ids, decoded bytes, number of ids)."""
-
-    def make(piece: str):
-        ids = bpe.encode_piece(piece.encode())
-        return ",".join(map(str, ids)), bpe.decode(ids), len(ids)
-
-    return Recent(make, CACHE)
+    """Piece of text to its decimal ids."""
+    return Recent(lambda piece: ",".join(map(str, bpe.encode_piece(piece.encode()))), CACHE)
 
 
 _held: dict[tuple[str, str], tuple] = {}
@@ -179,19 +194,39 @@ def encode_text(text: str, path: str, pattern: str) -> list[int]:
     return [i for x in split.findall(text) for i in bpe.encode_piece(x.encode())]
 
 
+def _runs(text: str, split):
+    """The pieces of a text, those of a long one in several lists."""
+    if len(text) <= LONG:
+        yield split.findall(text)
+        return
+    found = (x.group() for x in split.finditer(text))
+    while got := list(islice(found, RUN)):
+        yield got
+
+
+def _digest(text: str, get, spelled, split) -> tuple[int, str, str]:
+    """Number of ids, digests of the ids and of what they decode to."""
+    n, ids, back, comma = 0, hashlib.sha256(), hashlib.sha256(), b""
+    for pieces in _runs(text, split):
+        if pieces:
+            got = ",".join(map(get, pieces)).encode()
+            ids.update(comma)
+            ids.update(got)
+            each = got.split(b",")
+            n += len(each)
+            back.update(b"".join(map(spelled, each)))
+            comma = b","
+    return n, ids.hexdigest(), back.hexdigest()
+
+
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every text, encoded and decoded again."""
 
     def run(batches):
-        _, pieces, split = encoder(path, pattern)
-        get, found = pieces.__getitem__, split.findall
-        for batch in batches:
-            n, ids, back = [], [], []
-            for text in batch.column(1).to_pylist():
-                got = list(map(get, found(text)))
-                n.append(sum(x[2] for x in got))
-                ids.append(hashlib.sha256(",".join([x[0] for x in got]).encode()).hexdigest())
-                back.append(hashlib.sha256(b"".join([x[1] for x in got])).hexdigest())
+        bpe, pieces, split = encoder(path, pattern)
+        get, spelled = pieces.__getitem__, {str(r).encode(): b for r, b in bpe.bytes_of.items()}.__getitem__
+        for batch in small(batches):
+            n, ids, back = zip(*[_digest(text, get, spelled, split) for text in batch.column(1).to_pylist()], strict=True)
             yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs_of(docs).mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
@@ -201,7 +236,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """``doc_id, ids`` of every text."""
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             yield pa.record_batch([batch.column(0), pa.array([encode_text(x, path, pattern) for x in batch.column(1).to_pylist()], pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return docs_of(docs).mapInArrow(run, "doc_id bigint, ids array<int>")

@@ -68,6 +68,17 @@ def fold(doc_id, mod: int):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % mod
 
 
+#: Rows of a batch that a worker turns into Python objects at a time.
+ROWS = 500
+
+
+def small(batches, rows: int = ROWS):
+    """The rows of the batches in their order, few at a time; an empty batch gives none."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 #: So many ids (bigint) are sent to all tasks at most; a longer list meets the documents in a shuffle.
 SENT = 1_000_000
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import docs_of, stash, without
+from spanloom.llm.common import docs_of, small, stash, without
 
 Q, SMALL_Q, RATE, BLOCK = 8, 4, 0.08, 8 << 20
 _BITS = 22
@@ -190,7 +190,7 @@ class Items:
 def _search(block: list[tuple[int, str]], rate: float):
     def run(batches):
         items = Items(block, rate)
-        for batch in batches:
+        for batch in small(batches):
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 raw = norm(text)
@@ -233,7 +233,7 @@ def _held_grams(marks):
 
     def run(batches):
         mark = marks.value
-        for batch in batches:
+        for batch in small(batches):
             for rid, text in zip(batch.column("rid").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 raw = np.frombuffer(norm(text), np.uint8)
                 for by, bits in mark.items():

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import components, docs_of, only, stash, unstash, without
+from spanloom.llm.common import components, docs_of, only, small, stash, unstash, without
 
 WIDTH, PERCENT = 5, 80
 #: Counters of the rare-first sketch (16 MB), whatever the input's size; sent in slices.
@@ -88,7 +88,7 @@ _FIRST = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64(
 def _read_sets(width: int):
     def run(batches):
         counts = np.zeros(SKETCH, np.int32)
-        for batch in batches:
+        for batch in small(batches):
             ids, n, cls, parts, parity = batch.column(0).to_pylist(), [], [], [], []
             for text in batch.column(1).to_pylist():
                 found = shingles(text, width)
@@ -138,7 +138,7 @@ def _prefixes(width: int, percent: int, told):
         counts, seen = told.value, set()
         least = -(-percent // (100 - percent)) if percent < 100 else 1 << 60  # smaller sets only link with equal ones
         light = 1000 + 16 * int(counts.mean())  # a shingle counted oftener is dealt to several tasks
-        for batch in batches:
+        for batch in small(batches):
             gram, salt, cls, size, pos, prior = [], [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 found = shingles(text, width)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import stash, unstash, without
+from spanloom.llm.common import small, stash, unstash, without
 from spanloom.llm.logistic import fit, sigmoid
 
 SAMPLE, ROUNDS = 20_000, 3
@@ -83,7 +83,7 @@ def meta_view(source, lang, chars) -> np.ndarray:
 
 
 def _features(batches):
-    for batch in batches:
+    for batch in small(batches):
         x = [np.concatenate([text_view(t or ""), meta_view(s, g, c)]) for t, s, g, c in zip(*(batch.column(k).to_pylist() for k in range(1, 5)), strict=True)]
         yield pa.record_batch([batch.column(0), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "x"])
 

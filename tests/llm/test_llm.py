@@ -5,8 +5,11 @@ import json
 import math
 import random
 import re
+import subprocess
+import sys
 import unicodedata
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -453,6 +456,46 @@ def test_byte_bpe_on_odd_texts_and_edits():
         assert held.last == bpe.chain(held.piece) and held.bpe.decode(held.ids()) == held.piece
 
 
+#: Encodes a batch of many distinct words in a process of its own; prints the MB that this took and the rows that came back.
+WORKER = """
+import random, re, sys
+import pyarrow as pa
+import public_tokenizers
+from spanloom.llm import byte_bpe
+
+def held():
+    return int(re.search(r"VmHWM:\\s+(\\d+)", open("/proc/self/status").read())[1]) / 1024
+
+class Docs:
+    def mapInArrow(self, run, schema):
+        return run
+
+byte_bpe.docs_of = lambda docs: docs
+r, part = random.Random(1), "an en er in on st th te de le".split()
+texts = pa.array([" ".join("".join(r.choices(part, k=r.randint(4, 7))) for _ in range(90)) for _ in range(8000)])
+batch, before = pa.record_batch([pa.array(range(8000)), texts], names=["doc_id", "text"]), held()
+run = byte_bpe.digests(Docs(), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+rows = sum(x.num_rows for x in run([batch]))
+print(held() - before, rows)
+"""
+
+
+def test_byte_bpe_worker_memory():
+    root = str(Path(byte_bpe.__file__).parents[2])
+    got = subprocess.run([sys.executable, "-c", WORKER], cwd=root, capture_output=True, text=True, check=True).stdout.split()
+    assert int(got[1]) == 8000 and float(got[0]) < 120
+
+
+def test_byte_bpe_of_long_texts(monkeypatch):
+    monkeypatch.setattr(byte_bpe, "LONG", 50)
+    monkeypatch.setattr(byte_bpe, "RUN", 7)
+    bpe, pieces, split = byte_bpe.encoder(RANKS, public_tokenizers.PATTERN)
+    spelled = {str(r).encode(): b for r, b in bpe.bytes_of.items()}.__getitem__
+    for text in ("", BASE, say(14, 300) + "\n\n  naïve 日本語 🎉", "a" * 500):
+        ids = reference_bpe().encode_ordinary(text)
+        assert byte_bpe._digest(text, pieces.__getitem__, spelled, split) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
+
+
 def fuzzy(item, text):
     row = [0] * (len(text) + 1)
     for i, c in enumerate(item, 1):
